@@ -519,13 +519,13 @@ t.CTES["tf"] = (
     ("tx", "gp", "ms", "cj"),
 )
 TF_DOUBLES = (
-    "tiempo_desde_anterior_seg tx_por_hora_cajero monto_promedio_cajero tasa_rechazo_cajero desviacion_monto_cajero velocidad_promedio_cajero"
+    "tx_por_hora_cajero monto_promedio_cajero tasa_rechazo_cajero desviacion_monto_cajero velocidad_promedio_cajero"
 )
 
 
 @query("s13_transaction_features", with_tables("tf", rounded_sql("SELECT * FROM tf", TF_DOUBLES)))
 def _(spark, sf):
-    return rounded(tx.transaction_features(t.transactions(spark, sf), t.machines(spark, sf)))
+    return rounded(tx.transaction_features(t.transactions(spark, sf), t.machines(spark, sf)), TF_DOUBLES)
 
 
 # -- bucket features -----------------------------------------------------------------------------------------

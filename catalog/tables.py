@@ -80,7 +80,11 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return dispensed_of(load(spark, sf_dir, "events"))
+
+
+def dispensed_of(events: DataFrame) -> DataFrame:
+    """Dispensing records of an events table or stream."""
     code = (F.col("event_id") % 10 + 1).cast("int")
     amount = F.round(F.col("value") * 10000, 0)
     n100 = F.floor(amount / 100000)

@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -144,7 +145,7 @@ def grow_trees(
         .select("arbol", *keys, *features)
     )
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(keys))
         return _grow(int(key[0]), rows[features].to_numpy(float), share, seed)
 

@@ -19,7 +19,7 @@ from tillwatch.schemas import (
     TRANSACTION_HEADINGS,
 )
 
-CORRUPT = "_corrupt"
+SURPLUS = "_sobra"
 INDEX = "_indice"
 FILE = "_ruta"
 
@@ -31,16 +31,16 @@ def read_month(
     headings: Sequence[str] = tuple(TRANSACTION_HEADINGS),
     recursive: bool = False,
 ) -> DataFrame:
-    """All ``*.csv`` files of a month folder as text columns, with lineage and malformed lines kept.
+    """All ``*.csv`` files of a month folder as text columns, with lineage.
 
-    The first column is an index without meaning and is dropped.
+    The first column is an index without meaning and is dropped. A field past
+    the last heading is kept apart, to tell malformed lines.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (INDEX, *headings, CORRUPT)])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (INDEX, *headings, SURPLUS)])
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", recursive)
         .csv(f"{base.rstrip('/')}/{month}")
@@ -56,10 +56,9 @@ def read_month(
     )
 
 
-def is_malformed(df: DataFrame) -> Column:
+def is_malformed() -> Column:
     """Lines with more fields than the header; short lines are read with nulls."""
-    fields = F.size(F.split(F.col(CORRUPT), ","))
-    return F.col(CORRUPT).isNotNull() & (fields > len([c for c in df.columns if c in TRANSACTION_HEADINGS]) + 1)
+    return F.col(SURPLUS).isNotNull()
 
 
 def coerce_types(
@@ -94,14 +93,14 @@ def coerce_types(
 def split_bad_files(month: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the readable files, and one error row per file with a malformed line."""
     bad = (
-        month.filter(is_malformed(month))
+        month.filter(is_malformed())
         .groupBy("mes_origen", FILE, "archivo_origen")
         .agg(F.count(F.lit(1)).alias("lineas"))
     )
     errors = bad.select(
         "mes_origen", "archivo_origen", F.concat(F.col("lineas"), F.lit(" lineas con campos de mas")).alias("error")
     )
-    return anti_join(month, bad, [FILE]).drop(CORRUPT, FILE), errors
+    return anti_join(month, bad, [FILE]).drop(SURPLUS, FILE), errors
 
 
 def load_month(

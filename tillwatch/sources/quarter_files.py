@@ -15,19 +15,24 @@ from tillwatch.schemas import ADMIN_CODES, DENOMINATIONS, DISPENSING_CODES
 STAMP = "yyyyMMddHHmmss"
 
 
-def line_columns(df: DataFrame) -> DataFrame:
-    """Text lines with their file path and their position in the file."""
-    return df.select(
+def with_file(text: DataFrame) -> DataFrame:
+    """Text lines, batch or stream, with their file path and block offset."""
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("archivo_origen"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("bloque"), F.monotonically_increasing_id().alias("numero")
-        ).alias("linea"),
+        F.col("_metadata.file_block_start").alias("bloque"),
+    )
+
+
+def with_position(lines: DataFrame) -> DataFrame:
+    """Number the lines; numbers grow inside a block because one task reads it in order."""
+    return lines.select(
+        "value", "archivo_origen", F.struct("bloque", F.monotonically_increasing_id().alias("numero")).alias("linea")
     )
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return line_columns(spark.read.text(path))
+    return with_position(with_file(spark.read.text(path)))
 
 
 def _stamp(text: Column) -> Column:
@@ -48,7 +53,7 @@ def _note_count(fields: Column, denomination: int) -> Column:
 
 def file_headers(lines: DataFrame) -> DataFrame:
     """Per file, from its first line: position, time sent and expected number of rows."""
-    first = lines.groupBy("archivo_origen").agg(
+    first = lines.filter("linea.bloque = 0").groupBy("archivo_origen").agg(
         F.min_by("value", "linea").alias("cabecera"), F.min("linea").alias("linea_cabecera")
     )
     fields = F.split("cabecera", ",")

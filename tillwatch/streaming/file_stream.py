@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tillwatch.operators.isolation_forest import Forest
 from tillwatch.operators.rules import file_alerts, file_totals, score_totals, with_history
 from tillwatch.session import materialise
-from tillwatch.sources.quarter_files import line_columns, parse_lines
+from tillwatch.sources.quarter_files import parse_lines, with_file, with_position
 from tillwatch.sources.tables import upsert_alerts
 
 
@@ -43,14 +43,14 @@ def watch_files(
     """Process new files of ``folder`` every 15 minutes and merge their alerts into the table at ``target``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        lines = materialise(batch, "lines")
+        lines = materialise(with_position(batch), "lines")
         alerts, unknown = detect_in_files(lines, scored_profile)
         upsert_alerts(batch.sparkSession, alerts.withColumn("lote", F.lit(batch_id)), target)
         if on_unknown is not None:
             on_unknown(unknown)
 
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    writer = line_columns(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
+    writer = with_file(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 minutes")
     return writer.start()
 
