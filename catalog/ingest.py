@@ -56,7 +56,8 @@ def write_extract(spark, sf, months=MONTHS, broken: bool = False) -> str:
 
 
 EXTRACT_SQL = """
-    SELECT id_tlf, date_trunc('second', fecha_transaccion) AS fecha_transaccion, cod_terminal, autorizador,
+    SELECT id_tlf, date_trunc('second', fecha_transaccion) AS fecha_transaccion, cod_terminal,
+           nullif(autorizador, '') AS autorizador,
            tipo_operacion, cod_estado_transaccion, valor_transaccion, valor_transaccion_original, cantidad_tx,
            fecha_negocio FROM tx"""
 EXTRACT_COLUMNS = [
