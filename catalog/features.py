@@ -683,8 +683,7 @@ def _(spark, sf):
 def bucket_features(spark, sf):
     """Bucket features with frames short enough for the density of the test data."""
     return b.bucket_features(
-        r.bucket_totals(t.rollup(spark, sf)),
-        t.baseline(spark, sf),
+        r.bucket_totals(t.rollup(spark, sf), with_baseline=True),
         day_rows=DAY,
         hour_rows=HOUR,
         weekday_rows=WEEKDAY,

@@ -31,9 +31,17 @@ def _map(values: dict, key):
     return F.try_element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), key)
 
 
+def _cases(values: dict, key):
+    """The same as a chain of cases, which a filter on the result can reach through."""
+    chain = F.lit(None)
+    for name, value in reversed(values.items()):
+        chain = F.when(key == name, value).otherwise(chain)
+    return chain
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    event, kind = F.col("event_id"), _map(TYPES, F.col("event_type"))
+    event, kind = F.col("event_id"), _cases(TYPES, F.col("event_type"))
     amount = F.round(F.col("value") * 10000, 0)
     return events.select(
         event.alias("id_tlf"),
@@ -114,12 +122,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket totals with calendar, machine z-score and a score of 20 points per unit of it."""
-    rows = with_bucket_calendar(bucket_totals(rollup(spark, sf_dir)))
-    mean_std = rollup(spark, sf_dir).groupBy(F.col("cod_terminal").cast("string").alias("cod_cajero")).agg(
-        F.avg("monto_total_dispensado").alias("dispensacion_promedio"),
-        F.stddev_samp("monto_total_dispensado").alias("dispensacion_std"),
-    )
-    rows = with_machine_z(rows, mean_std)
+    rows = with_machine_z(with_bucket_calendar(bucket_totals(rollup(spark, sf_dir), with_baseline=True)))
     return rows.withColumn("score_anomalia", F.least(F.lit(100.0), 20 * F.abs("z_score_vs_cajero")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions.calendar import epoch_seconds, is_month_end, is_pay_window, is_weekend, iso_weekday
 from tillwatch.functions.numbers import percent_change, z_score
+from tillwatch.operators.rollup import BASELINE
 from tillwatch.plans.skew import lookup_join
 
 AMOUNT = "monto_total_dispensado"
@@ -34,14 +35,16 @@ def with_bucket_calendar(buckets: DataFrame) -> DataFrame:
     )
 
 
-def with_machine_z(buckets: DataFrame, profile: DataFrame) -> DataFrame:
-    """Standard score against the machine's historic mean and deviation."""
-    baseline = profile.select(F.col("cod_cajero").alias("_maquina"), "dispensacion_promedio", "dispensacion_std")
-    joined = lookup_join(buckets.withColumn("_maquina", F.col(KEY).cast("string")), baseline, ["_maquina"])
-    score = z_score(F.col(AMOUNT), F.col("dispensacion_promedio"), F.col("dispensacion_std"))
-    return joined.withColumn("z_score_vs_cajero", F.coalesce(score, F.lit(0.0))).drop(
-        "_maquina", "dispensacion_promedio", "dispensacion_std"
-    )
+def with_machine_z(buckets: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """Standard score against the machine's historic mean and deviation.
+
+    They come from ``profile``, or without one from the columns ``bucket_totals`` put next to the totals.
+    """
+    if profile is not None:
+        baseline = profile.select(F.col("cod_cajero").alias("_maquina"), *BASELINE)
+        buckets = lookup_join(buckets.withColumn("_maquina", F.col(KEY).cast("string")), baseline, ["_maquina"])
+    score = z_score(F.col(AMOUNT), F.col(BASELINE[0]), F.col(BASELINE[1]))
+    return buckets.withColumn("z_score_vs_cajero", F.coalesce(score, F.lit(0.0))).drop("_maquina", *BASELINE)
 
 
 def _by_machine():
@@ -122,7 +125,7 @@ def with_month_percentile(buckets: DataFrame, per_year: bool = False) -> DataFra
 
 def bucket_features(
     buckets: DataFrame,
-    profile: DataFrame,
+    profile: DataFrame | None = None,
     baseline: str = "trailing",
     day_rows: int = DAY_ROWS,
     hour_rows: int = HOUR_ROWS,

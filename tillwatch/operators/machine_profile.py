@@ -24,13 +24,14 @@ KEY = "cod_terminal"
 def _basic() -> list[Column]:
     x = F.col(AMOUNT)
     mean, std = F.avg(x), F.stddev_samp(x)
-    q25, q75 = F.percentile(x, 0.25), F.percentile(x, 0.75)
+    quartiles = F.percentile(x, [0.25, 0.5, 0.75])
+    q25, q75 = quartiles[0], quartiles[2]
     return [
         mean.alias("dispensacion_promedio"),
         std.alias("dispensacion_std"),
         F.max(x).alias("dispensacion_max"),
         F.min(x).alias("dispensacion_min"),
-        F.percentile(x, 0.5).alias("dispensacion_mediana"),
+        quartiles[1].alias("dispensacion_mediana"),
         F.when(mean > 0, F.try_divide(std, mean)).otherwise(F.lit(0.0)).alias("coef_variacion"),
         F.count(F.lit(1)).alias("num_periodos_15min"),
         F.sum("num_transacciones").alias("transacciones_totales"),
@@ -45,9 +46,9 @@ def _time_columns(df: DataFrame) -> DataFrame:
     hour = Window.partitionBy(KEY, "_hora")
     return (
         df.withColumn("_hora", F.hour("bucket_15min"))
+        .withColumn("_fila_hora", F.row_number().over(hour.orderBy("bucket_15min", "tipo_operacion")))
         .withColumn("_media_hora", F.avg(AMOUNT).over(hour))
         .withColumn("_std_hora", F.stddev_samp(AMOUNT).over(hour))
-        .withColumn("_fila_hora", F.row_number().over(hour.orderBy("bucket_15min", "tipo_operacion")))
     )
 
 
@@ -136,10 +137,10 @@ def machine_profile(
 ) -> DataFrame:
     """Per-machine features of the chosen families, with the first and last bucket."""
     rows, aggregates = rollup, []
+    if "trend" in families:  # first: its sort also serves the unordered windows by machine
+        rows = _trend_columns(rows, week_rows)
     if "history" in families:
         rows = _history_columns(rows)
-    if "trend" in families:
-        rows = _trend_columns(rows, week_rows)
     if "time" in families:
         rows = _time_columns(rows)
     if "basic" in families:

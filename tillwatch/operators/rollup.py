@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions.calendar import bucket, sunday_weekday
@@ -67,8 +67,8 @@ def rollup_notes(dispensed: DataFrame, width: str = "15 minutes", out: str = "bu
 def rollup_transactions(transactions: DataFrame) -> DataFrame:
     """15-minute roll-up per machine and operation type of the successful dispensing.
 
-    ``dias_unicos`` counts a set of dates: a bucket spans few business days, so
-    the set is small, and one shuffle serves all aggregates.
+    A bucket never spans two hours or two days, so its mean hour and its most
+    common weekday are those of its start and need no aggregate.
     """
     return (
         dispensing(transactions)
@@ -81,19 +81,35 @@ def rollup_transactions(transactions: DataFrame) -> DataFrame:
             F.max("valor_transaccion").alias("monto_maximo"),
             F.min("valor_transaccion").alias("monto_minimo"),
             F.stddev_samp("valor_transaccion").alias("monto_std"),
-            F.avg(F.hour("fecha_transaccion")).alias("hora_promedio"),
-            F.mode(sunday_weekday("fecha_transaccion"), deterministic=True).alias("dia_semana_mas_comun"),
-            F.size(F.collect_set("fecha_negocio")).cast("bigint").alias("dias_unicos"),
+            F.count_distinct("fecha_negocio").alias("dias_unicos"),
             F.max("fecha_transaccion").alias("ultima_transaccion"),
         )
+        .withColumn("hora_promedio", F.hour("bucket_15min").cast("double"))
+        .withColumn("dia_semana_mas_comun", sunday_weekday("bucket_15min"))
     )
 
 
-def bucket_totals(rollup: DataFrame) -> DataFrame:
-    """Bucket x machine totals over the operation types."""
-    return rollup.groupBy("bucket_15min", "cod_terminal").agg(
+BASELINE = ["dispensacion_promedio", "dispensacion_std"]
+
+
+def bucket_totals(rollup: DataFrame, with_baseline: bool = False) -> DataFrame:
+    """Bucket x machine totals over the operation types.
+
+    ``with_baseline`` adds the machine's mean and deviation over its roll-up
+    rows in the same pass: the rows are shuffled once, by machine, which also
+    serves the totals and the windows of the bucket features.
+    """
+    totals = [
         F.sum("monto_total_dispensado").alias("monto_total_dispensado"),
         F.sum("num_transacciones").alias("num_transacciones"),
+    ]
+    if not with_baseline:
+        return rollup.groupBy("bucket_15min", "cod_terminal").agg(*totals)
+    machine = Window.partitionBy("cod_terminal")
+    x = "monto_total_dispensado"
+    rows = rollup.withColumn("_media", F.avg(x).over(machine)).withColumn("_des", F.stddev_samp(x).over(machine))
+    return rows.groupBy("bucket_15min", "cod_terminal").agg(
+        *totals, F.first("_media").alias(BASELINE[0]), F.first("_des").alias(BASELINE[1])
     )
 
 
