@@ -481,7 +481,7 @@ def _(spark, sf):
     )
 
 
-MASTER = "cj.codigo = CAST(cod_terminal AS VARCHAR) AND CAST(cj.codigo AS INTEGER) % 7 <> 0"
+MASTER = "cj.codigo = CAST(cod_terminal AS VARCHAR) AND latitud IS NOT NULL"
 
 
 @query(
@@ -493,7 +493,7 @@ MASTER = "cj.codigo = CAST(cod_terminal AS VARCHAR) AND CAST(cj.codigo AS INTEGE
     ),
 )
 def _(spark, sf):
-    master = t.machines(spark, sf).filter("CAST(codigo AS INT) % 7 <> 0")  # leaves some machines unknown
+    master = with_coordinates(t.machines(spark, sf))  # machines that are not located count as unknown
     return tx.with_machine_flags(t.transactions(spark, sf), master).select(
         "id_tlf", "cajero_adyacente_encoded", "cierre_nocturno_encoded"
     )

@@ -15,6 +15,8 @@ from catalog import tables as t
 from catalog.registry import query
 from catalog.tables import NOTES, rounded, rounded_sql, with_tables
 from tillwatch.operators import rollup as r
+from tillwatch.operators.machine_profile import machine_profile
+from tillwatch.functions.calendar import bucket
 from tillwatch.operators import rules as ru
 from tillwatch.plans.skew import anti_join
 from tillwatch.session import materialise, work_dir
@@ -246,12 +248,11 @@ def _(spark, sf):
     "p01_recent",
     with_tables(
         "tx",
-        "SELECT id_tlf FROM tx WHERE fecha_transaccion >= (SELECT max(fecha_transaccion) FROM tx"
-        " WHERE id_tlf % 2 = 0) - INTERVAL '30 days' AND id_tlf % 2 = 0",
+        "SELECT id_tlf FROM tx WHERE fecha_transaccion >= (SELECT max(fecha_transaccion) FROM tx) - INTERVAL '30 days'",
     ),
 )
 def _(spark, sf):
-    return fl.keep_recent(t.transactions(spark, sf).filter("id_tlf % 2 = 0"), 1).select("id_tlf")
+    return fl.keep_recent(t.transactions(spark, sf), 1).select("id_tlf")
 
 
 @query("p02_types", with_tables("tx", "SELECT id_tlf FROM tx WHERE tipo_operacion IN ('Avance', 'Retiro')"))
@@ -269,15 +270,17 @@ def _(spark, sf):
     with_tables(
         "tx",
         """
-        SELECT id_tlf, fecha_transaccion, valor_transaccion + CASE WHEN id_tlf % 2 = 0 THEN 0 ELSE 1 END
-               AS valor_transaccion, (SELECT count(*) FROM tx WHERE id_tlf % 2 = 1) AS insertados,
-               (SELECT count(*) FROM tx WHERE id_tlf % 2 = 0) AS omitidos FROM tx""",
+        SELECT id_tlf, fecha_transaccion, valor_transaccion
+               + CASE WHEN fecha_transaccion < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS valor_transaccion,
+               (SELECT count(*) FROM tx WHERE fecha_transaccion >= TIMESTAMP '2024-01-16') AS insertados,
+               (SELECT count(*) FROM tx WHERE fecha_transaccion < TIMESTAMP '2024-01-16') AS omitidos FROM tx""",
     ),
 )
 def _(spark, sf):
     target = work_dir(spark, "fact")
     tx = t.transactions(spark, sf)
-    fl.insert_if_absent(spark, tx.filter("id_tlf % 2 = 0"), target)
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    fl.insert_if_absent(spark, tx.filter(F.col("fecha_transaccion") < half), target)
     counts = fl.insert_if_absent(spark, tx.withColumn("valor_transaccion", F.col("valor_transaccion") + 1), target)
     rows = tb.read_table(spark, target.rsplit("/", 1)[0], target.rsplit("/", 1)[1])
     return rows.select(
@@ -375,10 +378,11 @@ def _(spark, sf):
 
 
 def write_quarter_files(spark, sf) -> str:
-    """One file per hour of events; some lines are cut short, have a lone last field or repeat a denomination."""
+    """One file per six hours of events; some lines are cut short, have a lone last field or repeat a denomination."""
     d = t.dispensed(spark, sf)
     event = F.col("event_id")
-    name = F.date_format("fecha_hora", "yyyyMMddHH").alias("archivo")
+    start = bucket("fecha_hora", "6 hours")
+    name = F.date_format(start, "yyyyMMddHH").alias("archivo")
     whole = F.concat_ws(
         ",",
         F.lit("02"),
@@ -400,7 +404,7 @@ def write_quarter_files(spark, sf) -> str:
         .otherwise(whole)
     )
     detail = d.select(name, event.alias("orden"), line.alias("value"))
-    sent = F.date_format(F.date_trunc("hour", F.max("fecha_hora")) + F.expr("INTERVAL '1' HOUR"), "yyyyMMddHHmmss")
+    sent = F.date_format(F.max(start) + F.expr("INTERVAL '6' HOUR"), "yyyyMMddHHmmss")
     header = d.groupBy(name).agg(
         F.lit(-1).cast("bigint").alias("orden"),
         F.concat_ws(",", F.lit("01"), sent, F.count(F.lit(1))).alias("value"),
@@ -413,7 +417,7 @@ def write_quarter_files(spark, sf) -> str:
 
 t.CTES["qf"] = (
     """
-    SELECT event_id, date_trunc('hour', fecha_hora) + INTERVAL '1 hour' AS fecha_envio, cod_cajero, cod_admin_efectivo,
+    SELECT event_id, time_bucket(INTERVAL '6 hours', fecha_hora) + INTERVAL '6 hours' AS fecha_envio, cod_cajero, cod_admin_efectivo,
            CASE cod_admin_efectivo WHEN 2 THEN 'Dispensacion acumulada' WHEN 3 THEN 'Dispensacion antes de provision'
                 ELSE 'Dispensacion despues de provision' END AS tipo_admin,
            monto_total, date_trunc('second', fecha_hora) AS fecha_hora, billetes_20k,
@@ -452,8 +456,8 @@ def _(spark, sf):
         """
         SELECT fecha_envio, registros_esperados, registros_esperados AS registros_leidos,
                coalesce(registros, 0) AS registros, coalesce(cajeros, 0) AS cajeros, monto_total
-        FROM (SELECT date_trunc('hour', fecha_hora) + INTERVAL '1 hour' AS fecha_envio, count(*) AS registros_esperados
-              FROM de GROUP BY 1)
+        FROM (SELECT time_bucket(INTERVAL '6 hours', fecha_hora) + INTERVAL '6 hours' AS fecha_envio,
+                     count(*) AS registros_esperados FROM de GROUP BY 1)
         LEFT JOIN (SELECT fecha_envio, count(*) AS registros, count(DISTINCT cod_cajero) AS cajeros,
                           sum(monto_total) AS monto_total FROM qf GROUP BY 1) USING (fecha_envio)""",
     ),
@@ -469,22 +473,27 @@ t.CTES["qt"] = (
     FROM qf GROUP BY fecha_envio, cod_cajero""",
     ("qf",),
 )
-UNKNOWN = "CAST(cod_cajero AS INT) % 11 = 0"  # machines left without a profile
 
 
 @query(
     "j11_machines_without_history",
-    with_tables("qt", "SELECT cod_cajero, fecha_hora, m AS monto_dispensado FROM qt WHERE CAST(cod_cajero AS INTEGER) % 11 = 0"),
+    with_tables(
+        "qt disp",
+        "SELECT cod_cajero, fecha_hora, m AS monto_dispensado FROM qt WHERE cod_cajero NOT IN"
+        " (SELECT CAST(cod_terminal AS VARCHAR) FROM disp WHERE fecha_transaccion < TIMESTAMP '2024-01-03')",
+    ),
 )
 def _(spark, sf):
     totals = materialise(ru.file_totals(qf.parse_lines(qf.read_lines(spark, write_quarter_files(spark, sf)))), "totals")
-    profile = t.baseline(spark, sf).filter(f"NOT ({UNKNOWN})")
+    # The profile is as old as the third day, so machines that began later have none.
+    early = t.transactions(spark, sf).filter(F.col("fecha_transaccion") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    profile = machine_profile(r.rollup_transactions(early), ("basic",))
     return anti_join(totals, profile, ["cod_cajero"]).drop("archivo_origen")
 
 
 def profile_with_score(spark, sf):
     """Machine features with a stand-in for the model's raw score that SQL can repeat."""
-    rows = s.machine_features(spark, sf).filter(f"NOT ({UNKNOWN})")
+    rows = s.machine_features(spark, sf)
     raw = -F.least(F.lit(1.0), F.col("max_z_score_historico") / 6)
     return materialise(rows.withColumn("score_modelo", raw), "scored-profile")
 
@@ -493,7 +502,7 @@ BLEND = "0.6::DOUBLE * si + 0.4::DOUBLE * least(s1 + s2 + s3 + s4 + s5, 1.0)"
 t.CTES["qa"] = (
     f"""
     SELECT cod_cajero, fecha_hora, m, p, des, si, least(s1 + s2 + s3 + s4 + s5, 1.0) AS sr, {BLEND} AS sfin
-    FROM ({s._rules_sql("SELECT cod_cajero, fecha_hora, m FROM qt WHERE CAST(cod_cajero AS INTEGER) % 11 <> 0")})
+    FROM ({s._rules_sql("SELECT cod_cajero, fecha_hora, m FROM qt")})
     JOIN (SELECT cod_cajero, 1 / (1 + exp(-least(1.0::DOUBLE, max_z_score_historico / 6))) AS si FROM pf)
     USING (cod_cajero) WHERE {BLEND} >= 0.45""",
     ("qt", "pf", "zo"),
@@ -569,7 +578,7 @@ DAY = "fecha_hora >= TIMESTAMP '2024-01-10' AND fecha_hora < TIMESTAMP '2024-01-
 def _(spark, sf):
     target, policy = work_dir(spark, "rollup"), rst.POLICIES["15min"]
     records = t.dispensed(spark, sf)
-    early = records.filter("event_id % 2 = 0")  # what was there before the late rows came
+    early = records.filter(F.hour("fecha_hora") < 12)  # what was there before the late rows came
     for rows in (early, records):
         rst.refresh_range(spark, rows, policy, target, "2024-01-10", "2024-01-12 23:59:59")
     return spark.read.parquet(target).groupBy("dia").agg(

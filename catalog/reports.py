@@ -748,13 +748,14 @@ def _(spark, sf):
     with_tables(
         "disp",
         "SELECT cod_terminal, count(*) AS num_transacciones, min(fecha_transaccion) AS primera_tx,"
-        " max(fecha_transaccion) AS ultima_tx FROM disp WHERE cod_terminal % 5 = 0 GROUP BY cod_terminal"
-        " ORDER BY cod_terminal LIMIT 10",
+        " max(fecha_transaccion) AS ultima_tx FROM disp GROUP BY cod_terminal"
+        " HAVING min(fecha_transaccion) >= TIMESTAMP '2024-01-03' ORDER BY cod_terminal LIMIT 10",
     ),
 )
 def _(spark, sf):
-    summary = r.machine_summary(t.transactions(spark, sf)).filter("cod_terminal % 5 <> 0")  # every fifth is missing
-    summary = summary.select(F.col("cod_terminal").cast("string").alias("cod_cajero"))
+    # The summary is as old as the third day, so machines that began later have none.
+    early = t.transactions(spark, sf).filter(F.col("fecha_transaccion") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    summary = r.machine_summary(early).select(F.col("cod_terminal").cast("string").alias("cod_cajero"))
     return rp.machines_without_summary(t.transactions(spark, sf), summary)
 
 
@@ -780,11 +781,11 @@ def _(spark, sf):
                            ELSE 'Normal' END AS nivel_anomalia
             FROM (SELECT *, 0.5::DOUBLE * score_reglas + 0.5::DOUBLE * score_isolation_forest AS score_final
                   FROM (SELECT id_tlf AS id_transaccion,
-                               CASE WHEN id_tlf % 3 <> 0 THEN least(1.0::DOUBLE, valor_transaccion / 2000000)
+                               CASE WHEN cod_estado_transaccion = 1 THEN least(1.0::DOUBLE, valor_transaccion / 2000000)
                                     ELSE 0 END AS score_reglas,
-                               CASE WHEN id_tlf % 4 <> 0 THEN least(1.0::DOUBLE, valor_transaccion / 1000000)
+                               CASE WHEN tipo_operacion = 'Retiro' THEN least(1.0::DOUBLE, valor_transaccion / 1000000)
                                     ELSE 0 END AS score_isolation_forest
-                        FROM tx WHERE id_tlf % 3 <> 0 OR id_tlf % 4 <> 0))""",
+                        FROM tx))""",
             "score_reglas score_isolation_forest score_final",
             8,
         ),
@@ -793,8 +794,8 @@ def _(spark, sf):
 def _(spark, sf):
     tx, amount = t.transactions(spark, sf), F.col("valor_transaccion")
     key = F.col("id_tlf").alias("id_transaccion")
-    rules = tx.filter("id_tlf % 3 <> 0").select(key, F.least(F.lit(1.0), amount / 2000000).alias("score_reglas"))
-    model = tx.filter("id_tlf % 4 <> 0").select(
+    rules = tx.filter("cod_estado_transaccion = 1").select(key, F.least(F.lit(1.0), amount / 2000000).alias("score_reglas"))
+    model = tx.filter("tipo_operacion = 'Retiro'").select(
         key, F.least(F.lit(1.0), amount / 1000000).alias("score_isolation_forest")
     )
     return rounded(blended_scores(rules, model), digits=8)

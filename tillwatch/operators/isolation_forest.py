@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions.numbers import finite
-from tillwatch.plans.quantiles import column_quantiles, exact_quantiles
+from tillwatch.plans.quantiles import exact_quantiles
 from tillwatch.session import materialise
 
 MAX_SAMPLE = 256
@@ -51,8 +51,8 @@ def as_numbers(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_medians(numbers: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    medians = column_quantiles(numbers, features, 0.5)
-    return {f: 0.0 if medians[f] is None else float(medians[f]) for f in features}
+    medians = exact_quantiles(numbers, features, [0.5])
+    return {f: 0.0 if medians[f][0] is None else float(medians[f][0]) for f in features}
 
 
 def impute(numbers: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -318,7 +318,7 @@ def fit_forest(
     forest = Forest(features, medians, scaler, nodes, psi)
     scores = materialise(forest.transform(numbers).select("score_modelo"), "scores")
     forest.lowest, forest.highest = (float(v) for v in scores.agg(F.min("score_modelo"), F.max("score_modelo")).first())
-    forest.offset = float(exact_quantiles(scores, "score_modelo", [contamination])[0])
+    forest.offset = float(exact_quantiles(scores, ["score_modelo"], [contamination])["score_modelo"][0])
     forest.metadata = {
         **summary,
         "contamination": float(contamination),

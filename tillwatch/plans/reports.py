@@ -87,7 +87,7 @@ def scored_transactions(
     )
     top = joined.orderBy(F.desc("score_final"), "id_transaccion").limit(limit)
     return (
-        top.join(F.broadcast(top.select("cod_cajero").distinct()).join(_place(machines), "cod_cajero"), "cod_cajero", "left")
+        top.join(_place(machines), "cod_cajero", "left")
         .withColumnRenamed("municipio_dane", "municipio")
         .drop("cod_cajero")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.operators.rollup import note_rollup_aggregates, rollup_notes
+from tillwatch.session import materialise
 from tillwatch.sources.tables import upsert_partitions
 
 
@@ -59,13 +60,10 @@ def maintain_rollup(
     keys = [policy.column, *KEYS]
 
     def refresh(batch: DataFrame, _: int) -> None:
-        dated = batch.withColumn("dia", F.to_date(policy.column)).persist()
-        try:
-            if not dated.isEmpty():
-                values = [c for c in dated.columns if c not in keys and c != "dia"]
-                upsert_partitions(batch.sparkSession, dated, target, keys, values, "dia")
-        finally:
-            dated.unpersist()
+        dated = materialise(batch.withColumn("dia", F.to_date(policy.column)), "changed-buckets")
+        if not dated.isEmpty():
+            values = [c for c in dated.columns if c not in keys and c != "dia"]
+            upsert_partitions(batch.sparkSession, dated, target, keys, values, "dia")
 
     writer = (
         rollup_stream(dispensed, policy)
