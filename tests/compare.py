@@ -59,7 +59,7 @@ def main() -> None:
     from tillwatch.session import build_session
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle = entry.oracle_sql()

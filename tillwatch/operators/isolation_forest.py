@@ -122,23 +122,30 @@ def _grow(tree: int, x: np.ndarray, share: float, seed: int) -> pd.DataFrame:
 def grow_trees(
     prepared: DataFrame, features: Sequence[str], keys: Sequence[str], trees: int, psi: int, share: float, seed: int
 ) -> DataFrame:
-    """Node table of a forest: at most ``trees`` x (2 psi - 1) rows."""
+    """Node table of a forest: at most ``trees`` x (2 psi - 1) rows.
+
+    Each row of a bounded random pool is a candidate for a few trees picked by
+    hashes of its key, about 4 psi candidates per tree; a tree takes the psi
+    candidates of lowest rank hash. A small pool is offered whole to every tree.
+    """
     features = list(features)
     total = prepared.count()
     pool = prepared
     if total > POOL_ROWS:
         pool = prepared.filter(_hash_share(seed + 1, *keys) < F.lit(POOL_ROWS / total))
         total = POOL_ROWS
-    chance = min(1.0, 4.0 * psi / total)
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _hash_share(seed, t, *keys) < F.lit(chance)
-    )
+    draws = math.ceil(4 * psi * trees / max(total, 1))
+    if draws >= trees / 2:
+        drawn = F.sequence(F.lit(0), F.lit(trees - 1))
+    else:
+        picks = [F.pmod(F.xxhash64(F.lit(seed), F.lit(d), *keys), F.lit(trees)).cast("int") for d in range(draws)]
+        drawn = F.array_distinct(F.array(*picks))
     picked = (
         pool.select(*keys, *features, F.explode(drawn).alias("arbol"))
         .withColumn(
             "_puesto",
             F.row_number().over(
-                Window.partitionBy("arbol").orderBy(F.xxhash64(F.lit(seed), "arbol", *keys), *keys)
+                Window.partitionBy("arbol").orderBy(F.xxhash64(F.lit(seed + 2), "arbol", *keys), *keys)
             ),
         )
         .filter(F.col("_puesto") <= psi)
@@ -307,7 +314,9 @@ def fit_forest(
     features, keys = list(features), list(keys)
     chosen = sample_rows(df, sample, keys, seed) if sample else df
     extra = [c for c in (time, machine) if c not in keys and c not in features]
-    numbers = materialise(as_numbers(chosen.select(*keys, *extra, *features), features), "training")
+    # Spread by key: the sample is small in bytes but costly to score.
+    spread = chosen.select(*keys, *extra, *features).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    numbers = materialise(as_numbers(spread, features), "training")
     summary: dict = training_summary(numbers, time, machine).first().asDict()
     medians = fit_medians(numbers, features)
     filled = impute(numbers, medians)

@@ -12,15 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwatch.functions.numbers import haversine_km
+from tillwatch.functions.numbers import EARTH_RADIUS_KM, haversine_km
 from tillwatch.session import materialise
 
 KM_PER_DEGREE = 111.19492664455873  # great-circle length of one degree on a sphere of 6371 km
 RADIUS_KM = 1.0
 SELF_KM = 0.001
 CELLS_KM = (0.25, 0.025)
-#: Slack for deciding a whole cell; a cell within it is refined instead.
-MARGIN_KM = 1e-6
 
 
 def with_coordinates(machines: DataFrame) -> DataFrame:
@@ -62,24 +60,50 @@ def _touched(sites: DataFrame, radius: float, side: float, prefix: str) -> DataF
 
 
 def _box_distances() -> tuple[Column, Column]:
-    """Lower and upper bound of the distance from a site to the box of a cell."""
+    """Lower and upper bound of the distance from a site to the box of a cell, up to ``_margin``.
+
+    Flat bounds: a degree of longitude counts at the highest latitude met for
+    the lower bound and at the lowest for the upper one.
+    """
     lat, lon = F.col("lat"), F.col("lon")
-    near_lat = F.greatest(F.least(lat, F.col("hi_lat")), F.col("lo_lat"))
-    near_lon = F.greatest(F.least(lon, F.col("hi_lon")), F.col("lo_lon"))
-    north_south = haversine_km(lat, lon, near_lat, lon)
-    steepest = F.greatest(F.abs(lat), F.abs(F.col("lo_lat")), F.abs(F.col("hi_lat")))
-    east_west = haversine_km(steepest, lon, steepest, near_lon)
-    nearest = F.greatest(north_south, east_west)
-    corners = [
-        haversine_km(lat, lon, F.col(a), F.col(o)) for a in ("lo_lat", "hi_lat") for o in ("lo_lon", "hi_lon")
-    ]
-    return nearest, F.greatest(*corners)
+    lo_lat, hi_lat, lo_lon, hi_lon = (F.col(c) for c in ("lo_lat", "hi_lat", "lo_lon", "hi_lon"))
+    highest = F.greatest(F.abs(lat), F.abs(lo_lat), F.abs(hi_lat))
+    lowest = F.when(lo_lat * hi_lat <= 0, F.lit(0.0)).otherwise(F.least(F.abs(lat), F.abs(lo_lat), F.abs(hi_lat)))
+
+    def flat(north: Column, east: Column, at: Column) -> Column:
+        return F.lit(KM_PER_DEGREE) * F.hypot(north, east * F.cos(F.radians(at)))
+
+    zero = F.lit(0.0)
+    nearest = flat(
+        F.greatest(zero, lo_lat - lat, lat - hi_lat), F.greatest(zero, lo_lon - lon, lon - hi_lon), highest
+    )
+    farthest = flat(
+        F.greatest(F.abs(lat - lo_lat), F.abs(lat - hi_lat)),
+        F.greatest(F.abs(lon - lo_lon), F.abs(lon - hi_lon)),
+        lowest,
+    )
+    return nearest, farthest
+
+
+def _margin(radius: float) -> float:
+    """Slack for deciding a whole cell by flat bounds; a cell within it is refined instead."""
+    return 1e-6 + radius * (radius / EARTH_RADIUS_KM) ** 2
+
+
+def _over_date_line(sites: DataFrame, radius: float) -> DataFrame:
+    """Sites next to the 180th meridian also appear with a longitude on its other side."""
+    widest = F.cos(F.radians(F.least(F.abs("lat"), F.lit(89.9))))
+    edge = 180 - F.lit(2 * radius / KM_PER_DEGREE) / widest
+    lon = F.col("lon")
+    copies = F.array(lon, F.when(lon > edge, lon - 360), F.when(lon < -edge, lon + 360))
+    return sites.withColumn("lon", F.explode(F.array_compact(copies)))
 
 
 def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -> DataFrame:
     """Per site: number and amount of the machines at most ``radius`` away, itself included."""
     columns = ["lat", "lon", "n", "total"]
-    gridded = sites
+    gridded = _over_date_line(sites, radius)
+    margin = _margin(radius)
     for level, side in enumerate(cells_km):
         gridded = gridded.withColumns(_cell(f"g{level}", side))
     settled = []
@@ -100,10 +124,10 @@ def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -
             open_pairs.join(cells, parent or key)
             .withColumn("near", nearest)
             .withColumn("far", farthest)
-            .filter(F.col("near") <= radius + MARGIN_KM)
+            .filter(F.col("near") <= radius + margin)
         )
-        settled.append(met.filter(F.col("far") <= radius - MARGIN_KM).select(*columns))
-        open_pairs = met.filter(F.col("far") > radius - MARGIN_KM).select("lat", "lon", *key)
+        settled.append(met.filter(F.col("far") <= radius - margin).select(*columns))
+        open_pairs = met.filter(F.col("far") > radius - margin).select("lat", "lon", *key)
     key = [f"g{len(cells_km) - 1}_r", f"g{len(cells_km) - 1}_c"]
     others = gridded.select(*key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "n", "total")
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
