@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions.calendar import is_dawn, is_night, is_weekend
 from tillwatch.plans.skew import lookup_join, micros, with_previous
-from tillwatch.session import materialise
 from tillwatch.schemas import (
     DISPENSING_TYPES,
     OPERATION_CODES,
@@ -89,8 +88,7 @@ def with_machine_statistics(transactions: DataFrame, statistics: DataFrame | Non
     """Attach the machine's statistics, its hourly rate and the amount's deviation."""
     if statistics is None:
         statistics = machine_statistics(transactions)
-    statistics = materialise(statistics, "machine-statistics")  # one row per machine: sized before the join
-    return lookup_join(transactions, statistics, ["cod_terminal"]).withColumns(
+    return lookup_join(transactions, statistics, ["cod_terminal"], derived=True).withColumns(
         {
             "desviacion_monto_cajero": (F.col("valor_transaccion") - F.col("monto_promedio_cajero"))
             / (F.col("monto_std_cajero") + 1),

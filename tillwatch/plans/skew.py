@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwatch.session import materialise
+
 #: Row bound under which a lookup side is broadcast (a few tens of MB for the dimensions used here).
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -24,14 +26,19 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    derived: bool = False,
 ) -> DataFrame:
     """Join a large table to a table with one row per key.
 
     A side proven small is broadcast, so the large table is not shuffled.
     Otherwise the large table is salted by a hash of its rows and the other
     side repeated per salt, so a hot key is spread over ``salts`` tasks.
+    ``derived`` says that the small side is computed from a large table; it is
+    then written once instead of being computed for the check and the join.
     """
     on = list(on)
+    if derived:
+        dim = materialise(dim, "lookup")
     if is_small(dim, max_rows):
         return fact.join(F.broadcast(dim), on, how)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
@@ -39,9 +46,11 @@ def lookup_join(
     return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
 
 
-def anti_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def anti_join(
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], max_rows: int = BROADCAST_ROWS, derived: bool = False
+) -> DataFrame:
     """Rows of ``fact`` whose key is absent from ``dim``."""
-    return lookup_join(fact, dim.select(*on).distinct(), on, "left_anti", max_rows)
+    return lookup_join(fact, dim.select(*on), on, "left_anti", max_rows, derived=derived)
 
 
 def with_previous(

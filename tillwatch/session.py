@@ -16,11 +16,16 @@ RUNTIME_CONF = {
 }
 
 
+# State of long streams is kept off the executor heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "tillwatch", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    state = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    for key, value in {**RUNTIME_CONF, **state, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -18,6 +18,7 @@ from tillwatch.schemas import (
     TIME_HEADING,
     TRANSACTION_HEADINGS,
 )
+from tillwatch.session import materialise
 
 SURPLUS = "_sobra"
 INDEX = "_indice"
@@ -92,10 +93,11 @@ def coerce_types(
 
 def split_bad_files(month: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the readable files, and one error row per file with a malformed line."""
-    bad = (
+    bad = materialise(  # one row per malformed file
         month.filter(is_malformed())
         .groupBy("mes_origen", FILE, "archivo_origen")
-        .agg(F.count(F.lit(1)).alias("lineas"))
+        .agg(F.count(F.lit(1)).alias("lineas")),
+        "bad-files",
     )
     errors = bad.select(
         "mes_origen", "archivo_origen", F.concat(F.col("lineas"), F.lit(" lineas con campos de mas")).alias("error")

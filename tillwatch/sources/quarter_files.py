@@ -88,7 +88,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
     headers = file_headers(lines).select("archivo_origen", "linea_cabecera", "fecha_envio")
     return (
-        lookup_join(detail, headers, ["archivo_origen"])
+        lookup_join(detail, headers, ["archivo_origen"], derived=True)
         .filter(F.col("linea") != F.col("linea_cabecera"))
         .drop("linea_cabecera")
     )
