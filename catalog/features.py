@@ -15,6 +15,8 @@ from tillwatch.operators import machine_profile as mp
 from tillwatch.operators import rollup as r
 from tillwatch.operators import transactions as tx
 from tillwatch.operators.neighbours import with_coordinates, zone_features
+from tillwatch.session import work_dir
+from tillwatch.sources.tables import read_table, replace_table
 
 AS_OF = datetime(2024, 1, 20)
 
@@ -332,10 +334,25 @@ def _(spark, sf):
     return rounded(mp.machine_profile(t.rollup(spark, sf), ("trend",), WEEK).drop("tendencia_pvalue", *EDGES))
 
 
-@query("a10_trend_p_value")
+# The tail of the t test as an integral of a power of the cosine, by Simpson's rule over 400 steps.
+P_VALUE_SQL = """
+    SELECT cod_cajero, CASE WHEN n <= 5 THEN 1
+           ELSE greatest(0, 1 - 2 * exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt(pi())
+                * asin(least(abs(r), 1)) / 1200 * sum(w * power(cos(asin(least(abs(r), 1)) * k / 400), n - 3))) END
+           AS tendencia_pvalue
+    FROM (SELECT CAST(cod_terminal AS VARCHAR) AS cod_cajero, CAST(count(*) AS DOUBLE) AS n,
+                 coalesce(covar_pop(m, i) / nullif(stddev_pop(m) * stddev_pop(i), 0), 0) AS r
+          FROM (SELECT cod_terminal, monto_total_dispensado AS m, CAST(row_number() OVER (PARTITION BY cod_terminal
+                       ORDER BY bucket_15min, tipo_operacion) AS DOUBLE) AS i FROM mv) GROUP BY cod_terminal),
+         (SELECT range AS k, CASE WHEN range IN (0, 400) THEN 1 WHEN range % 2 = 1 THEN 4 ELSE 2 END AS w
+          FROM range(401))
+    GROUP BY cod_cajero, n, r"""
+
+
+@query("a10_trend_p_value", with_tables("mv", rounded_sql(P_VALUE_SQL, "tendencia_pvalue", 6)))
 def _(spark, sf):
     profile = mp.machine_profile(t.rollup(spark, sf), ("trend",))
-    return profile.select("cod_cajero", "tendencia_r2", "tendencia_pvalue")
+    return rounded(profile.select("cod_cajero", "tendencia_pvalue"), digits=6)
 
 
 @query("a11_anomaly_history", with_tables("fh", rounded_sql("SELECT * FROM fh", HISTORY_DOUBLES)))
@@ -525,7 +542,10 @@ TF_DOUBLES = (
 
 @query("s13_transaction_features", with_tables("tf", rounded_sql("SELECT * FROM tf", TF_DOUBLES)))
 def _(spark, sf):
-    return rounded(tx.transaction_features(t.transactions(spark, sf), t.machines(spark, sf)), TF_DOUBLES)
+    base = work_dir(spark, "tables")
+    for _ in range(2):  # the second run replaces the first
+        replace_table(tx.transaction_features(t.transactions(spark, sf), t.machines(spark, sf)), base, "features")
+    return rounded(read_table(spark, base, "features"), TF_DOUBLES)
 
 
 # -- bucket features -----------------------------------------------------------------------------------------

@@ -548,10 +548,10 @@ def event_stream(spark, sf):
 
 
 def _register_streams() -> None:
-    for key, minutes, name in (("15min", 15, "t01_stream_15min"), ("1hora", 60, "t01_stream_1h")):
+    for key, minutes in (("15min", 15), ("30min", 30), ("1hora", 60)):
         policy = rst.POLICIES[key]
 
-        @query(name, f._note_sql(minutes, policy.column))
+        @query(f"t01_stream_{key}", f._note_sql(minutes, policy.column))
         def _(spark, sf, policy=policy):
             target = work_dir(spark, "rollup")
             records = t.dispensed_of(event_stream(spark, sf)).drop("event_id")
@@ -586,6 +586,18 @@ def _(spark, sf):
     )
 
 
+@query(
+    "t03_stream_detection",
+    with_tables("qa", rounded_sql(f"SELECT * FROM ({ALERT_SQL}) WHERE score_anomalia >= 0.5", ALERT_DOUBLES)),
+)
+def _(spark, sf):
+    folder, target = write_quarter_files(spark, sf), work_dir(spark, "alerts")
+    fs.watch_files(
+        spark, folder, profile_with_score(spark, sf), target, work_dir(spark, "files-state"), 5000, once=True
+    ).awaitTermination()
+    return rounded(_with_scores(spark.read.parquet(target)))
+
+
 @query("t03_watch_files")
 def _(spark, sf):
     profile, model = s.machine_model(spark, sf)

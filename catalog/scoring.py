@@ -226,13 +226,17 @@ def prepared_buckets(spark, sf):
     return rows, forest.fit_bucket_forest(rows)
 
 
-@query("m01_bucket_forest")
-def _(spark, sf):
+def tree_nodes(spark, sf):
     rows = materialise(f.bucket_features(spark, sf), "bucket-features")
     numbers = materialise(forest.as_numbers(rows.select(*BUCKET_KEYS, *BUCKET_MODEL_FEATURES), BUCKET_MODEL_FEATURES), "n")
     filled = forest.impute(numbers, forest.fit_medians(numbers, BUCKET_MODEL_FEATURES))
     scaled = forest.scale(filled, forest.fit_scaler(filled, BUCKET_MODEL_FEATURES))
-    return forest.grow_trees(scaled, BUCKET_MODEL_FEATURES, BUCKET_KEYS, 200, 256, 0.8, 42)
+    return forest.grow_trees(scaled, BUCKET_MODEL_FEATURES, BUCKET_KEYS, 200, min(256, rows.count()), 0.8, 42)
+
+
+@query("m01_bucket_forest")
+def _(spark, sf):
+    return tree_nodes(spark, sf)
 
 
 @query("m04_m05_score_buckets")
@@ -247,15 +251,56 @@ def _(spark, sf):
     return al.build_alerts(model.transform(rows).filter("es_anomalia"))
 
 
-@query("m16_model_metadata")
+@query(
+    "m01_tree_samples",
+    with_tables(
+        "bk",
+        "SELECT CAST(range AS INTEGER) AS arbol, least(256, (SELECT count(*) FROM bk)) AS filas_raiz,"
+        " least(256, (SELECT count(*) FROM bk)) AS filas_hojas, true AS hondura_valida FROM range(200)",
+    ),
+)
+def _(spark, sf):
+    """Every tree holds a full sample, its leaves add up to it, and no path is too long."""
+    return tree_nodes(spark, sf).groupBy("arbol").agg(
+        F.sum(F.when(F.col("nodo") == 0, F.col("filas"))).alias("filas_raiz"),
+        F.sum(F.when(F.col("variable") < 0, F.col("filas"))).alias("filas_hojas"),
+        (F.max("hondura") <= 8).alias("hondura_valida"),
+    )
+
+
+@query(
+    "m16_model_metadata",
+    with_tables(
+        "bk",
+        "SELECT '2.0' AS version, count(*) AS total_registros_entrenamiento, 0.01::DOUBLE AS contamination,"
+        " 42 AS random_state, min(bucket_15min) AS fecha_datos_desde, max(bucket_15min) AS fecha_datos_hasta,"
+        " count(DISTINCT cod_terminal) AS cajeros_unicos, CAST(least(256, count(*)) AS INTEGER) AS psi FROM bk",
+    ),
+)
 def _(spark, sf):
-    return prepared_buckets(spark, sf)[1].describe(spark)
+    """What the model was fitted on; its random threshold and score range are left out."""
+    return prepared_buckets(spark, sf)[1].describe(spark).drop("umbral", "score_minimo", "score_maximo")
 
 
-@query("m17_training_check")
+@query(
+    "m17_training_check",
+    with_tables(
+        "bk",
+        "SELECT count(*) AS registros, true AS proporcion_valida, 0.0::DOUBLE AS score_min, 1.0::DOUBLE AS score_max"
+        " FROM bk",
+    ),
+)
 def _(spark, sf):
+    """The share flagged is the contamination, up to one row and ties of the score at the threshold."""
     rows, model = prepared_buckets(spark, sf)
-    return forest.training_check(model.transform(rows))
+    check = forest.training_check(model.transform(rows))
+    expected, flagged = 0.01 * F.col("registros"), F.col("anomalias")
+    return check.select(
+        "registros",
+        flagged.between(0.8 * expected - 1, expected + 1).alias("proporcion_valida"),
+        "score_min",
+        "score_max",
+    )
 
 
 @query("l06_training_sample")

@@ -21,10 +21,17 @@ from tillwatch.operators.neighbours import zone_features
 from tillwatch.operators.reasons import anomalous_transactions, explain_transactions
 from tillwatch.operators.rollup import bucket_totals, machine_summary, rollup_transactions
 from tillwatch.operators.transactions import transaction_features
-from tillwatch.sources.fact_load import _exists, insert_if_absent, prepare_fact
+from tillwatch.sources.fact_load import insert_if_absent, prepare_fact
 from tillwatch.sources.machines import replace_machines
 from tillwatch.sources.monthly_extracts import ingest_months, read_consolidated
-from tillwatch.sources.tables import SUMMARY_UPDATES, merge_rows, read_table, replace_table, upsert_alerts
+from tillwatch.sources.tables import (
+    SUMMARY_UPDATES,
+    merge_rows,
+    read_table,
+    replace_table,
+    stored_table,
+    upsert_alerts,
+)
 from tillwatch.session import materialise
 from tillwatch.streaming.file_stream import score_machines, watch_files
 
@@ -77,8 +84,9 @@ def build_history(spark: SparkSession, base: str) -> None:
         F.col("fecha_ultima_transaccion").alias("fecha_ultimo_registro"),
         F.current_timestamp().alias("fecha_calculo"),
     ).drop("cod_terminal", "fecha_primera_transaccion", "fecha_ultima_transaccion")
-    if _exists(spark, f"{base}/{SUMMARY}"):
-        merged = merge_rows(read_table(spark, base, SUMMARY), summary, ["cod_cajero"], SUMMARY_UPDATES)
+    stored = stored_table(spark, f"{base}/{SUMMARY}")
+    if stored is not None:
+        merged = merge_rows(stored, summary, ["cod_cajero"], SUMMARY_UPDATES)
         summary = materialise(merged, "summary")  # the table read is the table replaced
     replace_table(summary, base, SUMMARY)
     profile = machine_profile(read_table(spark, base, ROLLUP))

@@ -66,7 +66,7 @@ def exact_quantiles(
     columns = list(columns)
     number = {c: F.col(c).cast("double") for c in columns}
     values = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in number.items()])
-    if values.select(F.lit(1).alias("one")).limit(direct_rows + 1).count() <= direct_rows:
+    if values.count() <= direct_rows:
         row = values.agg(*[F.percentile(c, list(probabilities)).alias(c) for c in columns]).first()
         return {c: row[c] if row[c] is not None else [None] * len(probabilities) for c in columns}
     row = values.agg(

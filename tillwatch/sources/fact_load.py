@@ -13,6 +13,7 @@ from tillwatch.operators.rollup import as_of_or_latest
 from tillwatch.plans.skew import first_per_key
 from tillwatch.schemas import DISPENSING_TYPES, LINEAGE, TRANSACTION_HEADINGS
 from tillwatch.session import materialise
+from tillwatch.sources.tables import stored_table
 
 FACT_KEY = ["id_tlf", "fecha_transaccion"]
 
@@ -71,17 +72,13 @@ def insert_if_absent(spark: SparkSession, new: DataFrame, target: str) -> dict[s
     new = materialise(new, "incoming")
     total = new.count()
     rows = new
-    if _exists(spark, target):
+    stored = stored_table(spark, target)
+    if stored is not None:
         days = [r.dia for r in new.select("dia").distinct().collect()]  # calendar days of one load
-        existing = spark.read.parquet(target).filter(F.col("dia").isin(days))
+        existing = stored.filter(F.col("dia").isin(days))
         rows = materialise(absent_rows(new, existing), "absent")
     inserted = rows.count()
     rows.repartition("dia", F.pmod(F.xxhash64("id_tlf"), F.lit(16))).sortWithinPartitions(
         "cod_terminal", "fecha_transaccion"
     ).write.mode("append").partitionBy("dia").parquet(target)
     return {"insertados": inserted, "omitidos": total - inserted}
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwatch.plans.skew import first_per_key
 from tillwatch.schemas import ALERT_KEY
-from tillwatch.sources.fact_load import _exists
+
+
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def read_table(spark: SparkSession, base: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -83,9 +93,10 @@ def upsert_partitions(
     partition: str,
 ) -> None:
     """Merge into a table partitioned by ``partition`` (a function of the key), rewriting only the partitions met."""
-    if _exists(spark, target):
+    stored = stored_table(spark, target)
+    if stored is not None:
         met = [r[0] for r in incoming.select(partition).distinct().collect()]  # days of one load
-        current = spark.read.parquet(target).filter(F.col(partition).isin(met)).select(*incoming.columns)
+        current = stored.filter(F.col(partition).isin(met)).select(*incoming.columns)
         incoming = merge_rows(current, incoming, [*keys, partition], updates)
     incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
 
