@@ -280,7 +280,7 @@ TIME_DOUBLES = (
     " ratio_fds_laboral std_por_hora"
 )
 
-WEEK = 8
+WEEK = 18
 TREND_SQL = f"""
     SELECT CAST(cod_terminal AS VARCHAR) AS cod_cajero,
            CASE WHEN count(*) > 5 THEN coalesce(regr_slope(m, i), 0) ELSE 0 END AS tendencia_slope,
@@ -666,6 +666,31 @@ def _(spark, sf):
     return rounded(rows.select("bucket_15min", "cod_terminal", "volatilidad_reciente", "tendencia_24h"))
 
 
+LONG = 17
+LONG_OVER = f"OVER (PARTITION BY cod_terminal ORDER BY bucket_15min ROWS BETWEEN {LONG} PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "w06_w07_long_frames",
+    with_tables(
+        "zs",
+        rounded_sql(
+            rounded_sql(
+                f"SELECT {KEYS}, stddev_samp(monto_total_dispensado) {LONG_OVER} AS volatilidad_reciente,"
+                f" {_slope(LONG, 2)} AS tendencia_24h FROM zs",
+                "volatilidad_reciente",
+                2,
+            ),
+            "tendencia_24h",
+        ),
+    ),
+)
+def _(spark, sf):
+    rows = b.with_trend(r.bucket_totals(t.rollup(spark, sf)), LONG)
+    rows = rows.select("bucket_15min", "cod_terminal", "volatilidad_reciente", "tendencia_24h")
+    return rounded(rounded(rows, "volatilidad_reciente", 2), "tendencia_24h")
+
+
 MONTH_RANK = "percent_rank() OVER (PARTITION BY cod_terminal, mes ORDER BY monto_total_dispensado) * 100"
 
 

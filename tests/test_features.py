@@ -204,7 +204,7 @@ def test_one_exchange_for_all_bucket_windows(spark, dense):
     assert plan.count("Exchange hashpartitioning") == 1
     plan = machine_profile(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("Sort [") == 2
+    assert plan.count("Sort [") == 4
 
 
 def test_pattern_function(spark):

@@ -99,3 +99,21 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "a double")
     assert exact_quantiles(df, ["a"], [0.5]) == {"a": [None]}
     assert exact_quantiles(df, ["a"], [0.5], direct_rows=0) == {"a": [None]}
+
+
+@pytest.mark.parametrize("rows_back", [1, 5, 17, 40, 5000])
+def test_block_moments_equal_plain_frames(spark, hot, rows_back, monkeypatch):
+    from tillwatch.plans import rolling
+
+    monkeypatch.setattr(rolling, "PLAIN_ROWS", 0)  # blocks for every frame length
+    df = hot.withColumn("y", (F.col("id") * 7919 % 1009 * 1000.0)).withColumn("x", skew.micros("ts") / 1e6 - 1.7e9)
+    order = Window.partitionBy("k").orderBy("ts", "id")
+    before, upto = order.rowsBetween(-rows_back, -1), order.rowsBetween(-rows_back, 0)
+    plain = df.withColumn("s", F.stddev_samp("y").over(before)).withColumn("b", F.regr_slope("y", "x").over(upto))
+    cut = rolling.with_preceding_moments(df, "k", ["ts", "id"], "y", rows_back, "m", "x")
+    here = rolling.including_current(F.col("m"), "y", "x")
+    cut = cut.withColumn("s", rolling.sample_deviation(F.col("m"))).withColumn("b", rolling.slope(here))
+    for a, e in zip(rows(cut, "id", "s", "b"), rows(plain, "id", "s", "b"), strict=True):
+        assert a.id == e.id and (a.s is None) == (e.s is None) and (a.b is None) == (e.b is None)
+        assert a.s is None or a.s == pytest.approx(e.s, rel=1e-9, abs=1e-6)
+        assert a.b is None or a.b == pytest.approx(e.b, rel=1e-6, abs=1e-6)

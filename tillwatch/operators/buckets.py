@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillwatch.functions.calendar import epoch_seconds, is_month_end, is_pay_window, is_weekend, iso_weekday
 from tillwatch.functions.numbers import percent_change, z_score
 from tillwatch.operators.rollup import BASELINE
+from tillwatch.plans.rolling import including_current, sample_deviation, slope, with_preceding_moments
 from tillwatch.plans.skew import lookup_join
 
 AMOUNT = "monto_total_dispensado"
@@ -56,22 +57,11 @@ def change_from(rows: int) -> Column:
     return percent_change(F.col(AMOUNT), F.lag(AMOUNT, rows).over(_by_machine()))
 
 
-def volatility(rows: int) -> Column:
-    return F.stddev_samp(AMOUNT).over(_by_machine().rowsBetween(-rows, -1))
-
-
 def seconds_since_first() -> Column:
     first = F.first(BUCKET).over(_by_machine().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return epoch_seconds(BUCKET) - epoch_seconds(first)
 
 
-def trend(seconds: str, rows: int, min_rows: int = 2) -> Column:
-    """Slope of the amount per second over the last ``rows`` buckets and the current one."""
-    frame = _by_machine().rowsBetween(-rows, 0)
-    enough = F.count(F.lit(1)).over(frame) >= min_rows
-    return F.when(enough, F.regr_slope(F.col(AMOUNT), F.col(seconds)).over(frame))
-
-
 def _z_over(spec) -> Column:
     return z_score(F.col(AMOUNT), F.avg(AMOUNT).over(spec), F.stddev_samp(AMOUNT).over(spec))
 
@@ -93,11 +83,17 @@ def with_changes(buckets: DataFrame, day_rows: int = DAY_ROWS) -> DataFrame:
 
 
 def with_trend(buckets: DataFrame, day_rows: int = DAY_ROWS, min_rows: int = 2) -> DataFrame:
+    """Deviation of the preceding ``day_rows`` buckets, and the slope per second of those and the current one."""
+    timed = buckets.withColumn("_segundos", seconds_since_first())
+    moments = with_preceding_moments(timed, KEY, [BUCKET], AMOUNT, day_rows, "_previos", "_segundos")
+    together = including_current(F.col("_previos"), AMOUNT, "_segundos")
     return (
-        buckets.withColumn("_segundos", seconds_since_first())
-        .withColumn("volatilidad_reciente", volatility(day_rows))
-        .withColumn("tendencia_24h", trend("_segundos", day_rows, min_rows))
-        .drop("_segundos")
+        moments.withColumn("volatilidad_reciente", sample_deviation(F.col("_previos")))
+        .withColumn("_hasta_aqui", together)
+        .withColumn(
+            "tendencia_24h", F.when(F.col("_hasta_aqui.n") >= min_rows, slope(F.col("_hasta_aqui")))
+        )
+        .drop("_segundos", "_previos", "_hasta_aqui")
     )
 
 

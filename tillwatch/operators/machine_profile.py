@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions.numbers import regression_p_value
+from tillwatch.plans.rolling import including_current, sample_deviation, with_preceding_moments
 
 AMOUNT = "monto_total_dispensado"
 WEEK_ROWS = 7 * 4 * 24
@@ -77,10 +78,13 @@ def _time() -> list[Column]:
 
 
 def _trend_columns(df: DataFrame, week_rows: int) -> DataFrame:
-    order = Window.partitionBy(KEY).orderBy("bucket_15min", "tipo_operacion")
+    order = ["bucket_15min", "tipo_operacion"]
+    rows = Window.partitionBy(KEY).orderBy(*order)
+    numbered = df.withColumn("_periodo", (F.row_number().over(rows) - 1).cast("double"))
+    moments = with_preceding_moments(numbered, KEY, order, AMOUNT, week_rows - 1, "_previos")
     return (
-        df.withColumn("_periodo", (F.row_number().over(order) - 1).cast("double"))
-        .withColumn("_vol", F.stddev_samp(AMOUNT).over(order.rowsBetween(-(week_rows - 1), 0)))
+        moments.withColumn("_vol", sample_deviation(including_current(F.col("_previos"), AMOUNT)))
+        .drop("_previos")
         .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY)))
     )
 
