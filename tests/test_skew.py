@@ -32,7 +32,7 @@ def rows(df, *columns):
 
 def test_previous_equals_lag(hot):
     plain = hot.withColumn("p", F.lag("ts").over(Window.partitionBy("k").orderBy("ts", "id")))
-    for unit in ("hour", "minute", "day"):
+    for unit in (None, "second", "minute", "hour", "day"):
         cut = skew.with_previous(hot, ["k"], "ts", ["id"], "p", unit)
         assert rows(cut, "id", "p") == rows(plain, "id", "p")
 
@@ -47,8 +47,14 @@ def test_lookback_equals_range_frame(hot):
 def test_running_count_equals_running_sum(hot):
     frame = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     plain = hot.withColumn("c", F.sum(F.col("hit").cast("int")).over(frame))
-    cut = skew.with_running_count(hot, ["k"], "ts", ["id"], F.col("hit"), "c")
-    assert rows(cut, "id", "c") == rows(plain, "id", "c")
+    for unit in (None, "minute", "hour"):
+        cut = skew.with_running_count(hot, ["k"], "ts", ["id"], F.col("hit"), "c", unit)
+        assert rows(cut, "id", "c") == rows(plain, "id", "c")
+
+
+def test_slices_get_finer_for_a_hot_key(hot):
+    units = [skew.slice_unit(hot, ["k"], "ts", n) for n in (10_000, 1000, 30, 1)]
+    assert units == ["month", "hour", "minute", "second"]
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti"])

@@ -53,22 +53,44 @@ def anti_join(
     return lookup_join(fact, dim.select(*on), on, "left_anti", max_rows, derived=derived)
 
 
+#: Slices of a sliced window are made finer until the largest has at most this many rows.
+SLICE_ROWS = 1_000_000
+SLICE_UNITS = ("month", "day", "hour", "minute", "second")
+
+
+def _slice(ts: str, unit: str) -> Column:
+    return F.date_trunc(unit, ts).cast("timestamp_ntz")
+
+
+def slice_unit(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = SLICE_ROWS) -> str:
+    """The coarsest time unit in which no key has more than ``max_rows`` rows.
+
+    Each try is one partially aggregated count that reads the key and the time only.
+    """
+    for unit in SLICE_UNITS[:-1]:
+        largest = df.groupBy(*keys, _slice(ts, unit).alias("_slice")).count().agg(F.max("count")).first()[0]
+        if (largest or 0) <= max_rows:
+            return unit
+    return SLICE_UNITS[-1]
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
     tie: Sequence[str],
     out: str,
-    slice_unit: str = "hour",
+    unit: str | None = None,
 ) -> DataFrame:
     """Add the time of the previous row of the same key.
 
     The window is cut into time slices, so a hot key is many small groups. The
     first row of a slice takes the last time of the key's preceding slice from
-    a table with one row per key and slice.
+    a table with one row per key and slice. Without a ``unit`` the slices are
+    as coarse as the hottest key allows.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, ts).cast("timestamp_ntz"))
+    sliced = df.withColumn("_slice", _slice(ts, unit or slice_unit(df, keys, ts)))
     edges = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias("_last"))
     carry = edges.select(
         *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
@@ -115,11 +137,11 @@ def with_running_count(
     tie: Sequence[str],
     condition: Column,
     out: str,
-    slice_unit: str = "hour",
+    unit: str | None = None,
 ) -> DataFrame:
     """Running count of ``condition`` per key in time order, by slices plus the total of earlier slices."""
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.date_trunc(slice_unit, ts).cast("timestamp_ntz")).withColumn(
+    sliced = df.withColumn("_slice", _slice(ts, unit or slice_unit(df, keys, ts))).withColumn(
         "_hit", F.when(condition, 1).otherwise(0)
     )
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_hit").alias("_hits"))
