@@ -28,7 +28,7 @@ def severity(score: Column, z: Column) -> Column:
 
 
 def expected_amount(amount: Column, z: Column) -> Column:
-    """Amount divided by 1 + z: the reference formula, null at z = -1; not the machine's mean."""
+    """Amount divided by 1 + z, null at z = -1. An approximation: it is not the machine's mean."""
     return F.when(z != 0, F.try_divide(amount, 1 + z)).otherwise(amount)
 
 
