@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from tillwatch.operators.neighbours import zone_features
@@ -63,6 +64,32 @@ def test_scattered_dense_and_shared_places(spark):
     check(spark, points)
 
 
+@pytest.mark.parametrize("seed, lat, lon", [(1, 4.6, -74.08), (2, -33.4, 151.2), (3, 59.9, 10.7)])
+def test_dense_district_across_many_cell_borders(spark, seed, lat, lon):
+    rng = np.random.default_rng(seed)
+    n = 6000
+    at = np.column_stack([lat + rng.uniform(0, 0.011, n), lon + rng.uniform(0, 0.011, n)]).round(6)
+    amount = rng.integers(1, 10**6, n).astype(float)
+    p, q = np.radians(at).T
+    h = (
+        np.sin((p[:, None] - p) / 2) ** 2
+        + np.cos(p)[:, None] * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+    )
+    far = 2 * 6371 * np.arcsin(np.sqrt(h))
+    near = (far > 0.001) & (far <= 1.0)
+    profile = spark.createDataFrame(
+        [(str(i), v) for i, v in enumerate(amount.tolist())], "cod_cajero string, dispensacion_promedio double"
+    )
+    machines = spark.createDataFrame(
+        [(str(i), *x, "m", "d") for i, x in enumerate(at.tolist())],
+        "codigo string, latitud double, longitud double, municipio_dane string, departamento string",
+    )
+    got = {int(r.cod_cajero): r for r in zone_features(profile, machines).collect()}
+    assert [got[i].cajeros_cercanos_1km for i in range(n)] == near.sum(axis=1).tolist()
+    means = (near * amount).sum(axis=1) / near.sum(axis=1)
+    assert [got[i].dispensacion_promedio_zona for i in range(n)] == pytest.approx(means.tolist(), rel=1e-9)
+
+
 def test_far_north_equator_and_date_line(spark):
     rng = random.Random(12)
     points = {}

@@ -109,9 +109,10 @@ def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -
     settled = []
     open_pairs = _touched(sites.select("lat", "lon"), radius, cells_km[0], "g0")
     for level in range(len(cells_km)):
-        key = [f"g{level}_r", f"g{level}_c"]
-        parent = [] if level == 0 else [f"g{level - 1}_r", f"g{level - 1}_c"]
-        cells = gridded.groupBy(*parent, *key).agg(
+        # Small cells need not nest in large ones, so a cell is named by the cells of all levels.
+        key = [f"g{upper}_{part}" for upper in range(level + 1) for part in "rc"]
+        parent = key[:-2]
+        cells = gridded.groupBy(*key).agg(
             F.sum("n").alias("n"),
             F.sum("total").alias("total"),
             F.min("lat").alias("lo_lat"),
@@ -128,7 +129,6 @@ def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -
         )
         settled.append(met.filter(F.col("far") <= radius - margin).select(*columns))
         open_pairs = met.filter(F.col("far") > radius - margin).select("lat", "lon", *key)
-    key = [f"g{len(cells_km) - 1}_r", f"g{len(cells_km) - 1}_c"]
     others = gridded.select(*key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "n", "total")
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     settled.append(open_pairs.join(others, key).filter(distance <= radius).select(*columns))
