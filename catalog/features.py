@@ -368,6 +368,17 @@ def _(spark, sf):
     return rounded(mp.machine_profile(t.rollup(spark, sf), week_rows=WEEK).drop("tendencia_pvalue"))
 
 
+@query(
+    "a08_statistics_of_totals",
+    with_tables(
+        "bk",
+        rounded_sql(BASIC_SQL.replace("FROM mv)", "FROM bk)"), BASIC_DOUBLES),
+    ),
+)
+def _(spark, sf):
+    return rounded(mp.machine_profile(r.bucket_totals(t.rollup(spark, sf)), ("basic",)))
+
+
 @query(
     "w13_row_index",
     with_tables(
@@ -618,6 +629,24 @@ def _(spark, sf):
     return rounded(rows.select("bucket_15min", "cod_terminal", "cambio_vs_ayer"))
 
 
+@query(
+    "w02_change_by_clock",
+    with_tables(
+        "bk",
+        rounded_sql(
+            "SELECT b.bucket_15min, b.cod_terminal, CASE WHEN a.monto_total_dispensado > 0 THEN"
+            " (b.monto_total_dispensado - a.monto_total_dispensado) / a.monto_total_dispensado * 100 ELSE 0 END"
+            " AS cambio_vs_ayer FROM bk b LEFT JOIN bk a ON a.cod_terminal = b.cod_terminal"
+            " AND a.bucket_15min = b.bucket_15min - INTERVAL '24 hours'",
+            "cambio_vs_ayer",
+        ),
+    ),
+)
+def _(spark, sf):
+    rows = b.with_changes(r.bucket_totals(t.rollup(spark, sf)), by_clock=True)
+    return rounded(rows.select("bucket_15min", "cod_terminal", "cambio_vs_ayer"))
+
+
 @query(
     "w03_w04_z_trailing",
     with_tables(

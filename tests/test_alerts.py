@@ -165,6 +165,11 @@ def test_levels(spark, score, level):
     assert spark.range(1).select(rules.level(F.lit(score))).first()[0] == level
 
 
+def test_training_range_reaches_every_level(spark):
+    score = [rules.scaled_model(F.lit(raw), -0.8, -0.4) for raw in (-0.9, -0.8, -0.6, -0.4, -0.1)]
+    assert list(spark.range(1).select(*score).first()) == pytest.approx([1.0, 1.0, 0.5, 0.0, 0.0])
+
+
 def test_file_alert_detail(spark):
     known = spark.createDataFrame(
         [("100", 350.0, AT.replace(hour=3), 100.0, 10.0, 0.0, 1.0, 0.0)],

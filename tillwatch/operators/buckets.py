@@ -76,10 +76,16 @@ def history_z(group: str) -> Column:
     return _z_over(Window.partitionBy(KEY, group))
 
 
-def with_changes(buckets: DataFrame, day_rows: int = DAY_ROWS) -> DataFrame:
-    return buckets.withColumn("cambio_vs_anterior", change_from(1)).withColumn(
-        "cambio_vs_ayer", change_from(day_rows)
-    )
+def change_from_time(seconds: int) -> Column:
+    """Percent change against the bucket exactly ``seconds`` earlier; 0 where there is none."""
+    clock = Window.partitionBy(KEY).orderBy(F.unix_seconds(F.col(BUCKET).cast("timestamp")))
+    return percent_change(F.col(AMOUNT), F.max(AMOUNT).over(clock.rangeBetween(-seconds, -seconds)))
+
+
+def with_changes(buckets: DataFrame, day_rows: int = DAY_ROWS, by_clock: bool = False) -> DataFrame:
+    """Change against the previous bucket and against yesterday: ``day_rows`` buckets or, by the clock, 24 hours ago."""
+    yesterday = change_from_time(24 * 3600) if by_clock else change_from(day_rows)
+    return buckets.withColumn("cambio_vs_anterior", change_from(1)).withColumn("cambio_vs_ayer", yesterday)
 
 
 def with_trend(buckets: DataFrame, day_rows: int = DAY_ROWS, min_rows: int = 2) -> DataFrame:

@@ -22,6 +22,11 @@ MIN_TREND_ROWS = 5
 KEY = "cod_terminal"
 
 
+def _order(df: DataFrame) -> list[str]:
+    """Time order of a machine's rows; roll-up rows of one bucket go by type, bucket totals have none."""
+    return [c for c in ("bucket_15min", "tipo_operacion") if c in df.columns]
+
+
 def _basic() -> list[Column]:
     x = F.col(AMOUNT)
     mean, std = F.avg(x), F.stddev_samp(x)
@@ -45,9 +50,10 @@ def _basic() -> list[Column]:
 
 def _time_columns(df: DataFrame) -> DataFrame:
     hour = Window.partitionBy(KEY, "_hora")
+    order = _order(df)
     return (
         df.withColumn("_hora", F.hour("bucket_15min"))
-        .withColumn("_fila_hora", F.row_number().over(hour.orderBy("bucket_15min", "tipo_operacion")))
+        .withColumn("_fila_hora", F.row_number().over(hour.orderBy(*order)))
         .withColumn("_media_hora", F.avg(AMOUNT).over(hour))
         .withColumn("_std_hora", F.stddev_samp(AMOUNT).over(hour))
     )
@@ -78,7 +84,7 @@ def _time() -> list[Column]:
 
 
 def _trend_columns(df: DataFrame, week_rows: int) -> DataFrame:
-    order = ["bucket_15min", "tipo_operacion"]
+    order = _order(df)
     rows = Window.partitionBy(KEY).orderBy(*order)
     numbered = df.withColumn("_periodo", (F.row_number().over(rows) - 1).cast("double"))
     moments = with_preceding_moments(numbered, KEY, order, AMOUNT, week_rows - 1, "_previos")
@@ -139,7 +145,10 @@ FAMILIES = ("basic", "time", "trend", "history")
 def machine_profile(
     rollup: DataFrame, families: Sequence[str] = FAMILIES, week_rows: int = WEEK_ROWS
 ) -> DataFrame:
-    """Per-machine features of the chosen families, with the first and last bucket."""
+    """Per-machine features of the chosen families, with the first and last bucket.
+
+    Rows are bucket x type as stored; pass ``bucket_totals`` to profile whole buckets instead.
+    """
     rows, aggregates = rollup, []
     if "trend" in families:  # first: its sort also serves the unordered windows by machine
         rows = _trend_columns(rows, week_rows)

@@ -124,6 +124,12 @@ def sigmoid_of_model(raw: Column) -> Column:
     return 1 / (1 + F.exp(raw))
 
 
+def scaled_model(raw: Column, lowest: float, highest: float) -> Column:
+    """Raw forest score to [0, 1] by the range seen in training; with it every level can be reached."""
+    share = (raw - F.lit(lowest)) / F.lit((highest - lowest) or 1.0)
+    return F.least(F.greatest(1 - share, F.lit(0.0)), F.lit(1.0))
+
+
 def level(score: Column) -> Column:
     chain = F.lit("Normal")
     for name, bound in reversed(LEVELS.items()):
@@ -148,12 +154,21 @@ def with_history(totals: DataFrame, profile: DataFrame) -> tuple[DataFrame, Data
     return known, anti_join(totals, profile, ["cod_cajero"])
 
 
-def score_totals(known: DataFrame, raw_model_score: Column, min_score: float = LEVELS["Sospechoso"]) -> DataFrame:
-    """Blend the model's score with the rules, grade it and keep what is anomalous."""
+def score_totals(
+    known: DataFrame,
+    raw_model_score: Column,
+    min_score: float = LEVELS["Sospechoso"],
+    model_range: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Blend the model's score with the rules, grade it and keep what is anomalous.
+
+    The raw score goes through a sigmoid, or through its training range where ``model_range`` is given.
+    """
+    model = scaled_model(raw_model_score, *model_range) if model_range else sigmoid_of_model(raw_model_score)
     rules = business_rules(F.col("monto_dispensado"), F.hour("fecha_hora"))
     scored = (
         known.withColumn("_rules", rules)
-        .withColumn("score_isolation_forest", sigmoid_of_model(raw_model_score))
+        .withColumn("score_isolation_forest", model)
         .withColumn("score_reglas", F.col("_rules.score"))
         .withColumn("score_anomalia", blend(F.col("score_isolation_forest"), F.col("score_reglas")))
         .withColumn("severidad", level(F.col("score_anomalia")))

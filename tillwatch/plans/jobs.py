@@ -116,8 +116,7 @@ def detect_on_buckets(
     features = read_table(spark, base, BUCKETS)
     forest = fit_bucket_forest(features, contamination, **options)
     forest.save(spark, f"{base}/modelo_ventanas")
-    alerts = materialise(build_alerts(forest.transform(features).filter("es_anomalia")), "alerts")
-    upsert_alerts(spark, alerts, f"{base}/{ALERTS}")
+    upsert_alerts(spark, build_alerts(forest.transform(features).filter("es_anomalia")), f"{base}/{ALERTS}")
     return forest
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.plans.skew import first_per_key
 from tillwatch.schemas import ALERT_KEY
+from tillwatch.session import materialise
 
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -104,6 +105,6 @@ def upsert_partitions(
 def upsert_alerts(spark: SparkSession, alerts: DataFrame, target: str) -> None:
     """Merge alerts on (machine, time); amounts of a known alert stay as first written."""
     unique = first_per_key(alerts, ALERT_MERGE_KEY, [-F.col("score_anomalia"), F.col("tipo_anomalia")])
-    dated = unique.withColumn("dia", F.to_date("fecha_hora"))
+    dated = materialise(unique.withColumn("dia", F.to_date("fecha_hora")), "alerts")  # read three times below
     updates = [*ALERT_UPDATES, "lote"] if "lote" in alerts.columns else ALERT_UPDATES
     upsert_partitions(spark, dated, target, ALERT_MERGE_KEY, updates, "dia")

@@ -21,13 +21,17 @@ def score_machines(profile: DataFrame, forest: Forest) -> DataFrame:
 
 
 def detect_in_files(
-    lines: DataFrame, scored_profile: DataFrame, raw_model_score: Column | None = None, min_score: float = 0.5
+    lines: DataFrame,
+    scored_profile: DataFrame,
+    raw_model_score: Column | None = None,
+    min_score: float = 0.5,
+    model_range: tuple[float, float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts of the given file lines, and the totals of machines without history."""
     totals = materialise(file_totals(parse_lines(lines)), "totals")
     known, unknown = with_history(totals, scored_profile)
     raw = F.col("score_modelo") if raw_model_score is None else raw_model_score
-    return file_alerts(score_totals(known, raw, min_score)), unknown
+    return file_alerts(score_totals(known, raw, min_score, model_range)), unknown
 
 
 def watch_files(
@@ -38,13 +42,14 @@ def watch_files(
     checkpoint: str,
     files_per_trigger: int = 100,
     once: bool = False,
+    model_range: tuple[float, float] | None = None,
     on_unknown: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
     """Process new files of ``folder`` every 15 minutes and merge their alerts into the table at ``target``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         lines = materialise(with_position(batch), "lines")
-        alerts, unknown = detect_in_files(lines, scored_profile)
+        alerts, unknown = detect_in_files(lines, scored_profile, model_range=model_range)
         upsert_alerts(batch.sparkSession, alerts.withColumn("lote", F.lit(batch_id)), target)
         if on_unknown is not None:
             on_unknown(unknown)
