@@ -53,6 +53,10 @@ def map_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], m
     return df.mapInArrow(run, schema)
 
 
+def rows_of(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """Texts as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
