@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tillwatch.llm import chat, decontaminate, repeats, simhash
+from tillwatch.llm import chat, decontaminate, quality, repeats, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judge_quality(docs, read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "probability")
+
+
 @query(
     "op9_decontaminate",
     r"""
