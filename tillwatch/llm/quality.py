@@ -15,9 +15,9 @@ from tillwatch.llm.linear import char_grams, collect_vectors, fit_logistic, plat
 
 #: At most so many labelled documents of each class are learned from, those with the smallest hash of the id.
 SAMPLE = 1200
-#: Slots for words and pairs of words, and for three characters.
-SLOT_BITS = 12
-SIZE = 3 << SLOT_BITS
+#: Slots for each of words, pairs of words, single characters and three characters.
+SLOT_BITS = 11
+SIZE = 4 << SLOT_BITS
 #: A document is kept if it is good with at least this probability.
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
@@ -89,14 +89,14 @@ def counts_of(texts: pa.Array) -> list[np.ndarray]:
 
 
 def vectors(texts: pa.Array):
-    """Shares of hashed words, pairs of words and three characters of every text, one vector after the other."""
+    """Shares of hashed words, pairs of words, single and three characters of every text, one vector after the other."""
     data, offsets = flat(texts)
     words = find_words(data, offsets)
     hashes = word_hashes(words)
     for i in range(len(texts)):
         own = hashes[text_words(words, i)]
-        chars = char_grams(data[offsets[i] : offsets[i + 1]], 3, SLOT_BITS)
-        yield shares([word_grams(own, 1, SLOT_BITS), word_grams(own, 2, SLOT_BITS), chars], 1 << SLOT_BITS)
+        chars = [char_grams(data[offsets[i] : offsets[i + 1]], n, SLOT_BITS) for n in (1, 3)]
+        yield shares([word_grams(own, 1, SLOT_BITS), word_grams(own, 2, SLOT_BITS), *chars], 1 << SLOT_BITS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
