@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tillwatch.llm import chat, decontaminate, language, quality, repeats, simhash
+from tillwatch.llm import chat, decontaminate, language, quality, repeats, sentencepiece, simhash, token_counts
+
+
+#: A merge vocabulary of 32,000 pieces with byte fallback.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,12 +78,35 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded_and_decoded(docs)
+
+
+def encoded_and_decoded(docs: DataFrame) -> DataFrame:
+    """Digest of the ids of each document, and whether they give its text back."""
+    found = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text"), VOCABULARY), VOCABULARY)
+    return found.select(
+        "doc_id",
+        F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.sha2(F.coalesce(F.array_join("tokens", ","), F.lit("")), 256).alias("tokens_sha256"),
+        F.col("decoded").eqNullSafe(F.translate("text", "\u2581", " ")).alias("round_trip"),
+    )
+
+
 @query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, VOCABULARY).select("doc_id", "n_pretokens", "n_tokens")
+
+
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
