@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tillwatch.llm import chat, decontaminate, language, quality, repeats, sentencepiece, simhash, token_counts
+from tillwatch.llm import chat, decontaminate, language, lines, quality, repeats, sentencepiece, simhash, token_counts
 
 
 #: A merge vocabulary of 32,000 pieces with byte fallback.
@@ -17,6 +17,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query(
+    "op1_line_dedup",
+    r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), d AS (
+  SELECT line, length(line) AS c, min([doc_id, n]) AS f FROM l WHERE length(line) >= 10 GROUP BY line
+), half AS (
+  SELECT *, 'head' AS side, md5(left(line, m // 2)) AS part FROM (SELECT *, unnest([c, c - 1]) AS m FROM d)
+  UNION ALL SELECT *, 'tail', md5(right(line, m - m // 2)) FROM (SELECT *, unnest([c, c - 1]) AS m FROM d)
+), pairs AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.f AS fa, b.f AS fb, a.c AS c, b.c - a.c AS longer
+  FROM half a JOIN half b USING (m, side, part) WHERE a.c = m AND a.line <> b.line
+), near AS (
+  SELECT CASE WHEN fa < fb THEN b ELSE a END AS line FROM pairs
+  WHERE len(list_filter(range(1, c + 2), lambda i: CASE WHEN longer = 0 THEN left(a, i - 1) || substr(a, i + 1) = left(b, i - 1) || substr(b, i + 1) ELSE a = left(b, i - 1) || substr(b, i + 1) END)) > 0
+), marked AS (
+  SELECT l.*, length(line) >= 10 AND (line IN (SELECT line FROM near) OR [doc_id, n] > f) AS gone FROM l LEFT JOIN d USING (line)
+), per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY n) FILTER (NOT coalesce(gone, false)) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(p.text, '')) AS kept_sha256
+FROM documents LEFT JOIN per_doc p USING (doc_id)
+""",
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    left = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", left)
+
+
 @query(
     "op2_chat_format",
     r"""
