@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tillwatch.llm import chat, decontaminate, language, lines, quality, repeats, sentencepiece, simhash, token_counts
+from tillwatch.llm import chat, decontaminate, language, lines, quality, repeats, secrets, sentencepiece, simhash, token_counts
 
 
 #: A merge vocabulary of 32,000 pieces with byte fallback.
@@ -139,6 +139,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, VOCABULARY).select("doc_id", "n_pretokens", "n_tokens")
 
 
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    per_doc = secrets.scan(docs, secrets.triage).groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.count_if("is_secret").alias("n_secrets"),
+        F.array_sort(F.collect_set(F.when(F.col("is_secret"), F.col("token")))).alias("secrets"),
+    )
+    every = docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return every.select(
+        "doc_id",
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+        F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"),
+        F.sha2(F.coalesce(F.array_join("secrets", ","), F.lit("")), 256).alias("secrets_sha256"),
+    )
+
+
 @query("op8_quality")
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
