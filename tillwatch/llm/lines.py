@@ -43,7 +43,7 @@ def _halves() -> Column:
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """All keys of lines (id1, id2, first, chars, line): key, role, id1, id2, first."""
-    chars = lines.select(*ID, "first", "chars", F.posexplode(F.split("line", "")).alias("at", "c")).where("c <> ''")
+    chars = lines.select(*ID, "first", "chars", F.posexplode_outer(F.split("line", "")).alias("at", "c")).where("c <> ''")
     hashed = chars.select(*ID, "first", "chars", "at", F.xxhash64("c", "at").alias("here"), F.xxhash64("c", F.col("at") - 1).alias("moved"))
     one = Window.partitionBy(*ID)
     before = one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,7 +96,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     docs = keyed(docs.drop("n_lines", "n_removed"))
-    lines = docs.select(*KEY, F.posexplode(F.split("text", LINES)).alias("n", "line")).withColumn("chars", F.length("line"))
+    lines = docs.select(*KEY, F.posexplode_outer(F.split("text", LINES)).alias("n", "line")).withColumn("chars", F.length("line"))
     lines = lines.where(F.col("chars") >= min_chars).select(
         *KEY, "n", "chars", F.xxhash64("line").alias("id1"), F.xxhash64(F.lit(1), "line").alias("id2"), _halves().alias("halves")
     )
@@ -123,13 +123,14 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     gone = lines.select(*KEY, "n", *ID).join(marked, ID).where(F.col("near") | (F.struct(*KEY, "n") != F.col("first")))
     gone = gone.groupBy(*KEY).agg(F.collect_set("n").alias("__gone"))
     split = F.split("text", LINES)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "__gone")
+    left = F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), "__gone")
     joined = docs.join(gone, KEY, "left").withColumns(
         {
             "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
             "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            "__split": F.when(F.col("__gone").isNotNull(), split),
         }
     )
+    # As the output of a generator the split is made once; otherwise it would be moved into the lambda below.
+    joined = joined.select("*", F.inline_outer(F.array(F.struct(F.when(F.col("__gone").isNotNull(), split).alias("__split")))))
     rest = F.array_join(F.transform(left, lambda i: F.get("__split", i)), "\n")
     return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest)).drop(*KEY, "__gone", "__split")
