@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tillwatch.llm.batches import map_columns, raw, rows_of
 from tillwatch.llm.components import components
+from tillwatch.llm.keys import KEY, keyed
 from tillwatch.session import materialise
 
 SHINGLE = 3
@@ -147,6 +148,17 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     return found.distinct()
 
 
+def _owners(prints: DataFrame, least: str, max_bits: int) -> DataFrame:
+    """(fingerprint, owner) with the smallest value of the column ``least`` over the component of the fingerprint."""
+    distinct = materialise(prints.groupBy("fingerprint").agg(F.min(least).alias("least")), "distinct")
+    roots = components(links(distinct.select("fingerprint"), max_bits))
+    rooted = distinct.join(roots, distinct.fingerprint == roots.node, "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
+    )
+    owners = rooted.groupBy("root").agg(F.min("least").alias("owner"))
+    return rooted.select("fingerprint", "root").join(owners, "root").select("fingerprint", "owner")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: the smallest doc_id reachable over links.
 
@@ -156,11 +168,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     reached has an id. Repeated rows are rows of one component. Further columns are not used.
     """
     prints = materialise(fingerprints(docs.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"), "prints")
-    distinct = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fingerprint"), max_bits))
-    rooted = distinct.join(roots, distinct.fingerprint == roots.node, "left").select(
-        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owners = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
+    owners = _owners(prints, "doc_id", max_bits).withColumnRenamed("owner", "component_id")
     return prints.join(owners, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component, all columns as they were.
+
+    Of rows with equal id the one with the smallest hash of the text stays, of rows equal in both any one.
+    Rows without id come first.
+    """
+    rows = keyed(docs.select("doc_id", "text"))
+    prints = materialise(fingerprints(rows, shingle).select(F.struct(*KEY).alias("key"), "fingerprint"), "prints")
+    kept = _owners(prints, "key", max_bits).select("owner.*").distinct()
+    return keyed(docs).join(kept, KEY).dropDuplicates(KEY).select(*docs.columns)
