@@ -31,7 +31,11 @@ from tillwatch.streaming import rollup_stream as rst
 
 # -- monthly extracts ----------------------------------------------------------------------------------------
 
-MONTHS = ["2024/01", "2024/02", "2024/03"]
+
+
+def months(spark, sf) -> list[str]:
+    """The months there are (a few)."""
+    return sorted(r[0] for r in t.transactions(spark, sf).select("mes_origen").distinct().collect())
 
 
 def raw_extract(spark, sf):
@@ -43,10 +47,10 @@ def raw_extract(spark, sf):
     return rows.select("mes_origen", F.col("id_tlf").cast("string").alias("indice"), *text)
 
 
-def write_extract(spark, sf, months=MONTHS, broken: bool = False) -> str:
+def write_extract(spark, sf, broken: bool = False) -> str:
     """Month folders with one CSV file per day; ``broken`` puts a surplus field into every seventh day."""
     base = work_dir(spark, "extract")
-    for month in months:
+    for month in months(spark, sf):
         rows = raw_extract(spark, sf).filter(F.col("mes_origen") == month).drop("mes_origen")
         rows = rows.withColumn("dia", F.substring("Fecha Transacción", 9, 2))
         writer = rows.repartition("dia").write
@@ -78,7 +82,7 @@ EXTRACT_COLUMNS = [
 
 @query("s01_scan_month", with_tables("tx", f"{EXTRACT_SQL} WHERE mes_origen = '2024/02'"))
 def _(spark, sf):
-    base = write_extract(spark, sf, ["2024/02"])
+    base = write_extract(spark, sf)
     rows, _ = me.load_month(spark, base, "2024/02", recursive=True)
     return fl.rename_headings(rows).select(*EXTRACT_COLUMNS)
 
@@ -96,7 +100,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     base = write_extract(spark, sf, broken=True)
-    loaded = [me.load_month(spark, base, m, recursive=True) for m in [*MONTHS, "2024/04"]]
+    loaded = [me.load_month(spark, base, m, recursive=True) for m in [*months(spark, sf), "2023/12"]]
     rows = me.consolidate([good for good, _ in loaded if good is not None])
     errors = me.consolidate([bad for _, bad in loaded])
     missing = F.col("archivo_origen").isNull()
@@ -139,12 +143,12 @@ def _(spark, sf):
     with_tables(
         "tx",
         "SELECT mes_origen, count(*) AS filas, count(*) AS con_archivo, count(*) AS con_fecha FROM tx"
-        " WHERE mes_origen <> '2024/03' GROUP BY mes_origen",
+        " GROUP BY mes_origen",
     ),
 )
 def _(spark, sf):
-    base = write_extract(spark, sf, MONTHS[:2])
-    rows = me.consolidate([me.load_month(spark, base, m, recursive=True)[0] for m in MONTHS[:2]])
+    base = write_extract(spark, sf)
+    rows = me.consolidate([me.load_month(spark, base, m, recursive=True)[0] for m in months(spark, sf)])
     return rows.groupBy("mes_origen").agg(
         F.count(F.lit(1)).alias("filas"),
         F.count_if(F.col("archivo_origen").endswith(".csv")).alias("con_archivo"),
@@ -162,7 +166,7 @@ REPORT_SQL = """
 @query("s05_s06_s07_consolidated_report", with_tables("tx", REPORT_SQL))
 def _(spark, sf):
     base, target = write_extract(spark, sf), work_dir(spark, "consolidated")
-    for month in MONTHS:
+    for month in months(spark, sf):
         me.write_month(me.load_month(spark, base, month, recursive=True)[0], target)
     return me.month_report(fl.rename_headings(me.read_consolidated(spark, target)))
 
@@ -176,9 +180,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = t.transactions(spark, sf).select("id_tlf", "canal", "mes_origen")
-    months = [rows.filter(F.col("mes_origen") == m) for m in MONTHS]
-    months[1] = months[1].drop("canal")  # a month whose extract lacks a column
-    return me.consolidate(months)
+    names = months(spark, sf)
+    parts = [rows.filter(F.col("mes_origen") == m) for m in names]
+    parts[names.index("2024/02")] = parts[names.index("2024/02")].drop("canal")  # a month whose extract lacks a column
+    return me.consolidate(parts)
 
 
 @query(
@@ -606,4 +611,4 @@ def _(spark, sf):
     fs.watch_files(
         spark, folder, scored, target, work_dir(spark, "files-state"), files_per_trigger=5000, once=True
     ).awaitTermination()
-    return fs.alerts_of_batch(spark.read.parquet(target)).drop("fecha_deteccion")
+    return spark.read.parquet(target).drop("fecha_deteccion", "lote")

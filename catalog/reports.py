@@ -404,8 +404,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rows = rp.scored_transactions(t.scores(spark, sf), t.transactions(spark, sf), t.machines(spark, sf), START, END)
-    return rounded(rp.top_machines_by_scores(rows))
+    rows = rp.scores_in_range(t.scores(spark, sf), t.transactions(spark, sf), START, END)
+    return rounded(rp.top_machines_by_scores(rows, t.machines(spark, sf)))
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog import features as f
 from catalog import tables as t
-from catalog.registry import query
+from catalog.registry import ORACLE, query
 from catalog.tables import rounded, rounded_sql, with_tables
 from tillwatch.operators import alerts as al
 from tillwatch.operators import behaviour as bh
@@ -606,6 +607,111 @@ def _(spark, sf):
     return bh.withdrawal_after_pin_change(t.transactions(spark, sf), seconds=7200)
 
 
+#: Looser limits than the defaults, so that every rule is met in the test tables; the same as in x01 to x06.
+LOOSE = {
+    "cambios_pin": {"more_than": 1, "seconds": 12 * 3600},
+    "retiro_grande": {"seconds": 6 * 3600},
+    "velocidad": {"more_than": 2, "seconds": 3 * 3600},
+    "pin_y_retiro": {"seconds": 7200},
+    "rechazos": {"at_least": 3},
+}
+
+
+def _met(rule: str, query_name: str) -> str:
+    return f"SELECT id_tlf, {bh.RULE_SCORES[rule]}::DOUBLE AS punto, '{rule}' AS regla FROM ({ORACLE[query_name]})"
+
+
+RULES_SQL = f"""
+    SELECT id_tlf AS id_transaccion, max(punto) AS score_reglas, coalesce(string_agg(DISTINCT regla, ',' ORDER BY regla), '') AS reglas
+    FROM (SELECT id_tlf, 0::DOUBLE AS punto, NULL AS regla FROM tx
+          UNION ALL {_met("cambios_pin", "x01_frequent_pin_changes")}
+          UNION ALL {_met("retiro_grande", "x02_large_withdrawals")}
+          UNION ALL {_met("velocidad", "x05_high_rate")}
+          UNION ALL {_met("pin_y_retiro", "x06_withdrawal_after_pin_change")}
+          UNION ALL {_met("fuera_de_horario", "x04_outside_hours")}
+          UNION ALL SELECT id_tlf, {bh.RULE_SCORES["rechazos"]}::DOUBLE, 'rechazos' FROM tx
+                    JOIN ({ORACLE["x03_rejection_runs"]}) AS r ON tx.cod_terminal = r.cod_terminal
+                    AND fecha_transaccion BETWEEN desde AND hasta WHERE cod_estado_transaccion = 2)
+    GROUP BY id_tlf"""
+
+
+@query("x07_rule_scores", with_tables("tx", RULES_SQL))
+def _(spark, sf):
+    scored = bh.rule_scores(t.transactions(spark, sf), t.machines(spark, sf), **LOOSE)
+    return scored.withColumn("reglas", F.array_join("reglas", ","))
+
+
+@query(
+    "x07_scores",
+    with_tables(
+        "tx",
+        rounded_sql(
+            f"""
+            SELECT id_transaccion, score_reglas, score_isolation_forest, score_final,
+                   CASE WHEN score_final > 0.8 THEN 'Crítico' WHEN score_final > 0.5 THEN 'Sospechoso' ELSE 'Normal' END AS nivel_anomalia
+            FROM (SELECT r.id_transaccion, score_reglas, modelo AS score_isolation_forest, 0.5::DOUBLE * score_reglas + 0.5::DOUBLE * modelo AS score_final
+                  FROM ({RULES_SQL}) AS r JOIN (SELECT id_tlf, least(1.0::DOUBLE, valor_transaccion / 1000000) AS modelo FROM tx) AS m
+                  ON r.id_transaccion = m.id_tlf)""",
+            "score_reglas score_isolation_forest score_final",
+            8,
+        ),
+    ),
+)
+def _(spark, sf):
+    tx = t.transactions(spark, sf)
+    model = tx.select(F.col("id_tlf").alias("id_transaccion"), F.least(F.lit(1.0), F.col("valor_transaccion") / 1000000).alias("score_isolation_forest"))
+    rules = bh.rule_scores(tx, t.machines(spark, sf), **LOOSE)
+    return rounded(bh.blended_scores(rules, model), digits=8)
+
+
+# -- a small forest written by hand --------------------------------------------------------------------------
+
+#: (tree, node, feature, cut, left, right, rows, depth); feature -1: a leaf.
+SMALL_NODES = [
+    (0, 0, 0, 0.25, 1, 2, 16, 0), (0, 1, 1, -0.5, 3, 4, 10, 1), (0, 2, -1, 0.0, -1, -1, 6, 1),
+    (0, 3, -1, 0.0, -1, -1, 1, 2), (0, 4, -1, 0.0, -1, -1, 9, 2),
+    (1, 0, 1, 0.5, 1, 2, 16, 0), (1, 1, -1, 0.0, -1, -1, 14, 1), (1, 2, 0, 1.0, 3, 4, 2, 1),
+    (1, 3, -1, 0.0, -1, -1, 1, 2), (1, 4, -1, 0.0, -1, -1, 1, 2),
+]
+SMALL_FOREST = forest.Forest(
+    ["monto_total_dispensado", "num_transacciones"],
+    {"monto_total_dispensado": 1e6, "num_transacciones": 1.0},
+    {"monto_total_dispensado": (2e6, 1e6), "num_transacciones": (1.5, 0.5)},
+    pd.DataFrame(SMALL_NODES, columns=["arbol", "nodo", "variable", "corte", "izquierda", "derecha", "filas", "hondura"]),
+    16,
+    -0.5,
+    -0.8,
+    -0.3,
+)
+
+
+def _mean_depth(n: str) -> str:
+    return f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+
+
+SMALL_SQL = f"""
+    WITH RECURSIVE nodes(arbol, nodo, variable, corte, izquierda, derecha, filas, hondura) AS (
+        VALUES {", ".join(map(str, SMALL_NODES))}),
+    x AS (SELECT cod_terminal, bucket_15min, (monto_total_dispensado - 2e6) / 1e6 AS x0, (num_transacciones - 1.5) / 0.5 AS x1 FROM bk),
+    walk AS (
+        SELECT cod_terminal, bucket_15min, x0, x1, nodes.* FROM x, nodes WHERE nodo = 0
+        UNION ALL
+        SELECT cod_terminal, bucket_15min, x0, x1, n.* FROM walk w JOIN nodes n ON n.arbol = w.arbol
+            AND n.nodo = CASE WHEN CASE w.variable WHEN 0 THEN x0 ELSE x1 END <= w.corte THEN w.izquierda ELSE w.derecha END
+        WHERE w.variable >= 0),
+    scored AS (
+        SELECT cod_terminal, bucket_15min, -pow(2, -avg(hondura + {_mean_depth("filas")}) / ({_mean_depth("16")})) AS score_modelo
+        FROM walk WHERE variable < 0 GROUP BY ALL)
+    SELECT cod_terminal, bucket_15min, score_modelo, score_modelo < -0.5 AS es_anomalia,
+           least(greatest((1 - (score_modelo + 0.8) / 0.5) * 100, 0), 100)::DOUBLE AS score_anomalia FROM scored"""
+
+
+@query("m04_small_forest", with_tables("bk", rounded_sql(SMALL_SQL, "score_modelo score_anomalia", 8)))
+def _(spark, sf):
+    rows = r.bucket_totals(t.rollup(spark, sf)).select("cod_terminal", "bucket_15min", *SMALL_FOREST.features)
+    return rounded(SMALL_FOREST.transform(rows).drop(*SMALL_FOREST.features), digits=8)
+
+
 # -- duplicates ----------------------------------------------------------------------------------------------
 
 

@@ -185,10 +185,6 @@ def test_upsert_rewrites_only_the_days_it_meets(spark):
     assert len(before & after) == 1
 
 
-def test_newest_per_key(spark):
-    df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, 1, "c")], "k int, t int, v string")
-    assert sorted(tuple(r) for r in tables.newest_per_key(df, ["k"], "t").collect()) == [(1, 7, "b"), (2, 1, "c")]
-
 
 def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
     from tillwatch import session
@@ -208,3 +204,62 @@ def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.work_dir(Session(), "x")
+
+
+def test_headings_decide_not_places(spark, tmp_path):
+    heads = {v: k for k, v in TRANSACTION_HEADINGS.items()}
+    known = [heads[c] for c in ("id_tlf", "fecha_transaccion", "cod_terminal", "autorizador", "tipo_operacion", "valor_transaccion")]
+    ident, time, machine, auth, kind, amount = known
+    write(tmp_path / "m" / "a.csv", f",{ident},{time},{machine},{auth},{kind},{amount}\n0,1,2024/01/05 10:00:00,7,A,Retiro,5.5\n")
+    write(tmp_path / "m" / "b.csv", f",{kind},{auth},Nueva,{amount},{ident},{time}\n0,Avance,B,extra,NaN,2.0,2024/01/05 11:00:00\n1,Avance,B,extra,1,2.5,x\n")
+    write(tmp_path / "m" / "c.csv", f"{ident},{machine}\n3,99999999999\n4,NaN\n12345678901234567890,3.0\n9007199254740993.0,1e3\n")
+    write(tmp_path / "m" / "d.csv", f",{ident}\n0,5,surplus\n")
+    rows, errors = monthly_extracts.load_month(spark, str(tmp_path), "m")
+    assert [r.archivo_origen for r in errors.collect()] == ["d.csv"]
+    fact = fact_load.rename_headings(rows)
+    got = sorted(((r.archivo_origen, r.id_tlf, r.cod_terminal, r.autorizador, r.tipo_operacion, r.valor_transaccion) for r in fact.collect()), key=repr)
+    assert got[0] == ("a.csv", 1, 7, "A", "Retiro", 5.5)
+    assert got[1][:5] == ("b.csv", 2, None, "B", "Avance") and got[1][5] != got[1][5]
+    assert got[2] == ("b.csv", None, None, "B", "Avance", 1.0)
+    assert [g[1:3] for g in got[3:]] == [(3, None), (4, None), (9007199254740993, 1000), (None, 3)]
+
+
+def test_a_month_loaded_twice_is_stored_once(spark, tmp_path):
+    write(tmp_path / "in" / "m1" / "a.csv", ",Id Tlf\n0,1\n")
+    write(tmp_path / "in" / "m2" / "a.csv", ",Id Tlf\n0,2\n")
+    target = str(tmp_path / "out")
+    for months in (["m1", "m2"], ["m1"], ["m1", "m1"]):
+        monthly_extracts.ingest_months(spark, str(tmp_path / "in"), months, target)
+    assert sorted(r["Id Tlf"] for r in monthly_extracts.read_consolidated(spark, target).collect()) == [1, 2]
+
+
+def test_rows_without_key_are_not_copies(spark):
+    rows = [(None, dt.datetime(2024, 1, 1), "x"), (None, dt.datetime(2024, 1, 1), "x"), (1, None, "y"), (1, None, "y"), (2, dt.datetime(2024, 1, 1), "b"), (2, dt.datetime(2024, 1, 1), "a")]
+    df = spark.createDataFrame(rows, "id_tlf long, fecha_transaccion timestamp_ntz, v string")
+    got = fact_load.drop_duplicates(df)
+    assert sorted(r.v for r in got.collect()) == ["a", "x", "x", "y", "y"]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_a_stopped_merge_is_finished_by_the_next(spark, monkeypatch):
+    target = work_dir(spark, "alerts")
+    schema = "cod_cajero string, fecha_hora timestamp_ntz, severidad string, dia date"
+    day = dt.date(2024, 1, 1)
+    first = spark.createDataFrame([(str(i), dt.datetime(2024, 1, 1, i), "medio", day) for i in range(5)], schema)
+    keys = ["cod_cajero", "fecha_hora"]
+    tables.upsert_partitions(spark, first, target, keys, ["severidad"], "dia")
+    second = spark.createDataFrame([("2", dt.datetime(2024, 1, 1, 2), "alto", day)], schema)
+    whole = tables._replace_partitions
+
+    def stop(merged, at, partition):
+        tables.remove(spark, f"{at}/dia=2024-01-01")
+        raise RuntimeError("stopped between delete and rename")
+
+    monkeypatch.setattr(tables, "_replace_partitions", stop)
+    with pytest.raises(RuntimeError):
+        tables.upsert_partitions(spark, second, target, keys, ["severidad"], "dia")
+    monkeypatch.setattr(tables, "_replace_partitions", whole)
+    tables.upsert_partitions(spark, second, target, keys, ["severidad"], "dia")
+    got = sorted((r.cod_cajero, r.severidad) for r in spark.read.parquet(target).collect())
+    assert got == [(str(i), "alto" if i == 2 else "medio") for i in range(5)]

@@ -38,10 +38,6 @@ def flag(c: str | Column) -> Column:
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
-
-
 def contains_ignoring_case(c: str | Column, fragment: str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.lower(c.cast("string")).contains(fragment.lower())

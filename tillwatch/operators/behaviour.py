@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +88,52 @@ def outside_hours(transactions: DataFrame, machines: DataFrame) -> DataFrame:
     return lookup_join(rows, hours, ["_codigo"], "inner").filter(closed).drop("_codigo")
 
 
+# What a transaction scores for each rule it meets, by the rule's level (critical, warning).
+RULE_SCORES = {
+    "cambios_pin": 1.0,
+    "retiro_grande": 1.0,
+    "velocidad": 1.0,
+    "pin_y_retiro": 1.0,
+    "rechazos": 0.6,
+    "fuera_de_horario": 0.6,
+}
+
+
+def runs_of_transactions(transactions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rejections that lie in one of the given runs of their machine (runs of a machine do not overlap).
+
+    Runs are cut at days, so rows meet the few runs of their machine and day.
+    """
+    days = F.sequence(F.to_date("desde"), F.to_date("hasta"), F.expr("INTERVAL 1 DAY"))
+    by_day = runs.select(F.col(KEY).alias("_cajero"), F.explode(days).alias("_dia"), "desde", "hasta")
+    rows = transactions.filter(F.col("cod_estado_transaccion") == STATE_REJECTED).select("id_tlf", KEY, TS)
+    inside = (F.col(KEY) == F.col("_cajero")) & (F.to_date(TS) == F.col("_dia")) & F.col(TS).between(F.col("desde"), F.col("hasta"))
+    return rows.join(by_day, inside, "left_semi")
+
+
+def rule_scores(transactions: DataFrame, machines: DataFrame, **limits: dict) -> DataFrame:
+    """(id_transaccion, score_reglas, reglas): the highest score of the rules a transaction meets.
+
+    All rows of ``transactions`` are returned, with 0 and no rules where none is met. ``limits`` gives arguments of
+    single rules by their name, such as ``velocidad={"more_than": 20}``.
+    """
+    rows = transactions
+    runs = rejection_runs(rows, **limits.get("rechazos", {}))
+    found = {
+        "cambios_pin": frequent_pin_changes(rows, **limits.get("cambios_pin", {})),
+        "retiro_grande": large_withdrawals(rows, **limits.get("retiro_grande", {})),
+        "velocidad": high_rate(rows, **limits.get("velocidad", {})),
+        "pin_y_retiro": withdrawal_after_pin_change(rows, **limits.get("pin_y_retiro", {})),
+        "rechazos": runs_of_transactions(rows, runs),
+        "fuera_de_horario": outside_hours(rows, machines),
+    }
+    parts = [transactions.select(F.col("id_tlf").alias("id_transaccion"), F.lit(0.0).alias("punto"), F.lit(None).cast("string").alias("regla"))]
+    for name, rows in found.items():
+        parts.append(rows.select(F.col("id_tlf").alias("id_transaccion"), F.lit(RULE_SCORES[name]).alias("punto"), F.lit(name).alias("regla")))
+    met = reduce(DataFrame.unionAll, parts)
+    return met.groupBy("id_transaccion").agg(F.max("punto").alias("score_reglas"), F.array_sort(F.collect_set("regla")).alias("reglas"))
+
+
 # Lower bounds (exclusive) of the levels of the blended transaction score.
 SCORE_LEVELS = {"Crítico": 0.8, "Sospechoso": 0.5}
 

@@ -23,7 +23,6 @@ from tillwatch.plans.quantiles import exact_quantiles
 from tillwatch.session import materialise
 
 MAX_SAMPLE = 256
-POOL_ROWS = 131_072
 HASH_SPACE = 1 << 30
 NODE_SCHEMA = "arbol int, nodo int, variable int, corte double, izquierda int, derecha int, filas int, hondura int"
 
@@ -124,17 +123,16 @@ def grow_trees(
 ) -> DataFrame:
     """Node table of a forest: at most ``trees`` x (2 psi - 1) rows.
 
-    Each row of a bounded random pool is a candidate for a few trees picked by
-    hashes of its key, about 4 psi candidates per tree; a tree takes the psi
-    candidates of lowest rank hash. A small pool is offered whole to every tree.
+    Every row of the table may become a candidate of a few trees picked by hashes of its key,
+    about 4 psi candidates per tree whatever the size of the table; a tree takes the psi candidates of lowest
+    rank hash. A small table is offered whole to every tree.
     """
     features = list(features)
     total = prepared.count()
-    pool = prepared
-    if total > POOL_ROWS:
-        pool = prepared.filter(_hash_share(seed + 1, *keys) < F.lit(POOL_ROWS / total))
-        total = POOL_ROWS
-    draws = math.ceil(4 * psi * trees / max(total, 1))
+    per_row = 4 * psi * trees / max(total, 1)
+    draws = math.ceil(per_row)
+    # Fewer than one draw a row: so many rows draw once.
+    pool = prepared if per_row >= 1 else prepared.filter(_hash_share(seed + 1, *keys) < F.lit(per_row))
     if draws >= trees / 2:
         drawn = F.sequence(F.lit(0), F.lit(trees - 1))
     else:
@@ -351,7 +349,7 @@ def fit_bucket_forest(features: DataFrame, contamination: float = 0.01, **option
 
 
 def fit_machine_forest(profile: DataFrame, contamination: float = 0.01, **options) -> Forest:
-    """The machine model: 100 trees, all features."""
+    """The machine model: 100 trees, all features, fitted on all machines."""
     from tillwatch.schemas import MACHINE_MODEL_FEATURES
 
     return fit_forest(
@@ -362,6 +360,7 @@ def fit_machine_forest(profile: DataFrame, contamination: float = 0.01, **option
             "trees": 100,
             "share": 1.0,
             "contamination": contamination,
+            "sample": 0,
             "time": "fecha_ultimo_dato",
             "machine": "cod_cajero",
             **options,

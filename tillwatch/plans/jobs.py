@@ -15,13 +15,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.operators.alerts import build_alerts
 from tillwatch.operators.buckets import bucket_features
-from tillwatch.operators.isolation_forest import Forest, fit_bucket_forest, fit_machine_forest, load_forest
+from tillwatch.operators.behaviour import blended_scores, rule_scores
+from tillwatch.operators.isolation_forest import Forest, fit_bucket_forest, fit_forest, fit_machine_forest, load_forest
 from tillwatch.operators.machine_profile import machine_profile
 from tillwatch.operators.neighbours import zone_features
 from tillwatch.operators.reasons import anomalous_transactions, explain_transactions
 from tillwatch.operators.rollup import bucket_totals, machine_summary, rollup_transactions
 from tillwatch.operators.transactions import transaction_features
-from tillwatch.sources.fact_load import insert_if_absent, prepare_fact
+from tillwatch.schemas import OPERATION_CODES, TRANSACTION_MODEL_FEATURES
+from tillwatch.sources.fact_load import insert_if_absent, prepare_fact, rename_headings
 from tillwatch.sources.machines import replace_machines
 from tillwatch.sources.monthly_extracts import ingest_months, read_consolidated
 from tillwatch.sources.tables import (
@@ -56,11 +58,18 @@ def load_extracts(
     base: str,
     keep_months: int = 24,
     as_of: datetime | None = None,
+    types: Sequence[str] = tuple(OPERATION_CODES),
 ) -> tuple[DataFrame, dict[str, int]]:
-    """Monthly CSV folders to the transaction fact; returns the ingest errors and the insert counts."""
+    """Monthly CSV folders to the transaction fact; returns the ingest errors and the insert counts.
+
+    Only the given months are read. ``types`` are the operation types the fact keeps, by default all that the rules need.
+    """
     errors = ingest_months(spark, extracts, months, f"{base}/{CONSOLIDATED}")
     raw = read_consolidated(spark, f"{base}/{CONSOLIDATED}")
-    return errors, insert_if_absent(spark, prepare_fact(raw, keep_months, as_of=as_of), f"{base}/{FACT}")
+    as_of = as_of or rename_headings(raw).select(F.max("fecha_transaccion")).first()[0]
+    raw = raw.filter(F.col("mes_origen").isin(list(months)))
+    fact = prepare_fact(raw, keep_months, types, as_of)
+    return errors, insert_if_absent(spark, fact, f"{base}/{FACT}", unique=True, times=rename_headings(raw))
 
 
 def load_machines(spark: SparkSession, path: str, base: str) -> DataFrame:
@@ -73,10 +82,20 @@ def _machines(spark: SparkSession, base: str) -> DataFrame:
     return machines.withColumnRenamed("municipio", "municipio_dane") if "municipio" in machines.columns else machines
 
 
+def by_day(df: DataFrame, time: str) -> DataFrame:
+    """With the day as last column, rows of a day together: the layout of the large tables."""
+    return df.withColumn("dia", F.to_date(time)).hint("rebalance", "dia")
+
+
+def read_days(spark: SparkSession, base: str, name: str, start, end) -> DataFrame:
+    """The days [start, end] of a table stored by day; other days are not read."""
+    return read_table(spark, base, name).filter(F.col("dia").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
 def build_history(spark: SparkSession, base: str) -> None:
     """Fact to roll-up, machine summary and machine features."""
     fact = read_table(spark, base, FACT)
-    replace_table(rollup_transactions(fact), base, ROLLUP)
+    replace_table(by_day(rollup_transactions(fact), "bucket_15min"), base, ROLLUP, ["dia"])
     summary = machine_summary(fact).select(
         F.col("cod_terminal").cast("string").alias("cod_cajero"),
         "*",
@@ -89,19 +108,36 @@ def build_history(spark: SparkSession, base: str) -> None:
         merged = merge_rows(stored, summary, ["cod_cajero"], SUMMARY_UPDATES)
         summary = materialise(merged, "summary")  # the table read is the table replaced
     replace_table(summary, base, SUMMARY)
-    profile = machine_profile(read_table(spark, base, ROLLUP))
+    profile = machine_profile(read_table(spark, base, ROLLUP).drop("dia"))
     located = zone_features(profile, _machines(spark, base)).withColumn("fecha_calculo", F.current_timestamp())
     replace_table(located, base, PROFILE)
 
 
 def build_transaction_features(spark: SparkSession, base: str) -> None:
-    replace_table(transaction_features(read_table(spark, base, FACT), _machines(spark, base)), base, TRANSACTIONS)
+    fact = read_table(spark, base, FACT)
+    features = transaction_features(fact, _machines(spark, base), keep=("cod_terminal", "dia"))
+    replace_table(features.hint("rebalance", "dia"), base, TRANSACTIONS, ["dia"])
+
+
+def score_transactions(spark: SparkSession, base: str, trees: int = 100, sample: int = 2_000_000, **limits: dict) -> Forest:
+    """Rule scores, model scores and their blend for all transactions of the fact: the table ``scores``.
+
+    The model is a forest over the stored transaction features; its score is 0 to 1, 1 the most anomalous row of training.
+    """
+    fact, features = read_table(spark, base, FACT), read_table(spark, base, TRANSACTIONS)
+    dated = features.withColumn("fecha", F.col("dia").cast("timestamp_ntz"))
+    forest = fit_forest(dated, TRANSACTION_MODEL_FEATURES, ["id_transaccion"], trees=trees, sample=sample, time="fecha")
+    forest.save(spark, f"{base}/modelo_transacciones")
+    model = forest.transform(features).select("id_transaccion", (F.col("score_anomalia") / 100).alias("score_isolation_forest"))
+    rules = rule_scores(fact, _machines(spark, base), **limits)
+    replace_table(blended_scores(rules, model).withColumn("fecha_scoring", F.current_timestamp()), base, SCORES)
+    return forest
 
 
 def build_reasons(spark: SparkSession, base: str) -> None:
     """Reasons of the scored transactions."""
     anomalies = anomalous_transactions(
-        read_table(spark, base, SCORES), read_table(spark, base, FACT), read_table(spark, base, TRANSACTIONS)
+        read_table(spark, base, SCORES), read_table(spark, base, FACT), read_table(spark, base, TRANSACTIONS).drop("cod_terminal", "dia")
     )
     replace_table(explain_transactions(anomalies), base, REASONS)
 
@@ -110,9 +146,9 @@ def detect_on_buckets(
     spark: SparkSession, base: str, baseline: str = "trailing", contamination: float = 0.01, **options
 ) -> Forest:
     """Bucket features, model and merged alerts from the stored roll-up."""
-    totals = bucket_totals(read_table(spark, base, ROLLUP), with_baseline=True)
+    totals = bucket_totals(read_table(spark, base, ROLLUP).drop("dia"), with_baseline=True)
     features = bucket_features(totals, baseline=baseline).withColumn("dia", F.to_date("bucket_15min"))
-    replace_table(features, base, BUCKETS)
+    replace_table(features.hint("rebalance", "dia"), base, BUCKETS, ["dia"])
     features = read_table(spark, base, BUCKETS)
     forest = fit_bucket_forest(features, contamination, **options)
     forest.save(spark, f"{base}/modelo_ventanas")
@@ -127,9 +163,12 @@ def fit_machine_model(spark: SparkSession, base: str, **options) -> Forest:
 
 
 def watch(spark: SparkSession, base: str, folder: str, once: bool = False) -> StreamingQuery:
-    """Score 15-minute files as they arrive with the stored machine model and features."""
-    forest = load_forest(spark, f"{base}/modelo_cajeros")
-    scored = materialise(score_machines(read_table(spark, base, PROFILE), forest), "scored-profile")
+    """Score 15-minute files as they arrive with the machine model and features that are stored at that time."""
+
+    def profile() -> DataFrame:
+        scored = score_machines(read_table(spark, base, PROFILE), load_forest(spark, f"{base}/modelo_cajeros"))
+        return materialise(scored, "scored-profile")
+
     return watch_files(
-        spark, folder, scored, f"{base}/{ALERTS}_15min", f"{base}/_estado_15min", once=once
+        spark, folder, profile, f"{base}/{ALERTS}_15min", f"{base}/_estado_15min", once=once
     )

@@ -60,21 +60,15 @@ def alert_list(
     return rows.orderBy(*order).limit(limit)
 
 
-def scored_transactions(
-    scores: DataFrame,
-    transactions: DataFrame,
-    machines: DataFrame,
-    start: Bound,
-    end: Bound,
-    level: str | None = None,
-    limit: int = 10_000,
+def scores_in_range(
+    scores: DataFrame, transactions: DataFrame, start: Bound, end: Bound, level: str | None = None
 ) -> DataFrame:
-    """Scored transactions in [start, end) with their place, highest score first."""
+    """All scored transactions in [start, end)."""
     ts = F.col("fecha_transaccion")
     rows = transactions.filter((ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz")))
     if level is not None:
         scores = scores.filter(F.col("nivel_anomalia") == level)
-    joined = scores.select("id_transaccion", "score_final", "nivel_anomalia").join(
+    return scores.select("id_transaccion", "score_final", "nivel_anomalia").join(
         rows.select(
             F.col("id_tlf").alias("id_transaccion"),
             "fecha_transaccion",
@@ -85,7 +79,20 @@ def scored_transactions(
         ),
         "id_transaccion",
     )
-    top = joined.orderBy(F.desc("score_final"), "id_transaccion").limit(limit)
+
+
+def scored_transactions(
+    scores: DataFrame,
+    transactions: DataFrame,
+    machines: DataFrame,
+    start: Bound,
+    end: Bound,
+    level: str | None = None,
+    limit: int = 10_000,
+) -> DataFrame:
+    """The list of the ``limit`` highest scored transactions in [start, end) with their place."""
+    rows = scores_in_range(scores, transactions, start, end, level)
+    top = rows.orderBy(F.desc("score_final"), "id_transaccion").limit(limit)
     return (
         top.join(_place(machines), "cod_cajero", "left")
         .withColumnRenamed("municipio_dane", "municipio")
@@ -330,12 +337,19 @@ def top_machines(
     )
 
 
-def top_machines_by_scores(scored: DataFrame, limit: int = 10) -> DataFrame:
-    """Scored transactions per machine and municipality: count and mean score."""
+def top_machines_by_scores(scored: DataFrame, machines: DataFrame, limit: int = 10) -> DataFrame:
+    """Scored transactions per machine with a known municipality: count and mean score.
+
+    ``scored`` are all of a range (``scores_in_range``), not a list cut to the highest.
+    """
+    per_machine = scored.groupBy("cod_terminal", "cod_cajero").agg(
+        F.count("id_transaccion").alias("anomalias"), F.avg("score_final").alias("score_promedio")
+    )
     return (
-        scored.filter("municipio IS NOT NULL")
-        .groupBy("cod_terminal", "municipio")
-        .agg(F.count("id_transaccion").alias("anomalias"), F.avg("score_final").alias("score_promedio"))
+        per_machine.join(_place(machines), "cod_cajero")
+        .withColumnRenamed("municipio_dane", "municipio")
+        .filter("municipio IS NOT NULL")
+        .select("cod_terminal", "municipio", "anomalias", "score_promedio")
         .orderBy(F.desc("anomalias"), "cod_terminal", "municipio")
         .limit(limit)
     )

@@ -160,8 +160,9 @@ def with_running_count(
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the smallest by ``order``.
 
-    An aggregate, not a window: copies are folded before the shuffle, so a key
-    that owns many copies costs one row per task.
+    An aggregate, not a window: copies are folded before the shuffle, so a key that owns many copies costs
+    one row per task. It sorts before and after the shuffle; where keys are nearly unique, see
+    ``fact_load.drop_duplicates``.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]

@@ -136,6 +136,8 @@ TRANSACTION_FEATURES = {
     "cajero_adyacente_encoded": "int",
     "cierre_nocturno_encoded": "int",
 }
+#: What the model of transactions is fitted on: all but the key.
+TRANSACTION_MODEL_FEATURES = [c for c in TRANSACTION_FEATURES if c != "id_transaccion"]
 
 # Model inputs, per 15-minute bucket and per machine.
 BUCKET_MODEL_FEATURES = [

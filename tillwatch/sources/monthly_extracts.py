@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +23,20 @@ from tillwatch.schemas import (
 from tillwatch.session import materialise
 
 SURPLUS = "_sobra"
-INDEX = "_indice"
 FILE = "_ruta"
+#: First lines are read for so many files in one job.
+FILES_A_JOB = 200
+
+
+def file_headings(spark: SparkSession, files: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their heading line. Only the first line of each file is read."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for i in range(0, len(files), FILES_A_JOB):
+        firsts = [spark.read.text(f).limit(1).select(F.lit(f).alias("file"), "value") for f in files[i : i + FILES_A_JOB]]
+        for row in reduce(DataFrame.unionAll, firsts).collect():
+            names = next(csv.reader([row.value.lstrip("\ufeff")]), [])
+            found.setdefault(tuple(n.strip() for n in names), []).append(row.file)
+    return found
 
 
 def read_month(
@@ -34,27 +48,19 @@ def read_month(
 ) -> DataFrame:
     """All ``*.csv`` files of a month folder as text columns, with lineage.
 
-    The first column is an index without meaning and is dropped. A field past
-    the last heading is kept apart, to tell malformed lines.
+    Columns are found by their heading, file by file: their order does not matter, those without a known heading
+    (such as the index) are dropped, missing ones are null, of two with one heading the first counts. A field past the
+    last heading of its own file is kept apart, to tell malformed lines. Files with equal headings are one scan.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (INDEX, *headings, SURPLUS)])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", "*.csv")
-        .option("recursiveFileLookup", recursive)
-        .csv(f"{base.rstrip('/')}/{month}")
-        .withColumns(
-            {
-                FILE: F.col("_metadata.file_path"),
-                "archivo_origen": F.col("_metadata.file_name"),
-                "mes_origen": F.lit(month),
-                "fecha_procesamiento": F.current_timestamp(),
-            }
-        )
-        .drop(INDEX)
-    )
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
+    files = [r.path for r in listed.load(f"{base.rstrip('/')}/{month}").select("path").orderBy("path").collect()]
+    parts = []
+    for names, own in file_headings(spark, files).items():
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))] + [T.StructField(SURPLUS, T.StringType())])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(own)
+        columns = [F.col(f"_{names.index(h)}").alias(h) if h in names else F.lit(None).cast("string").alias(h) for h in headings]
+        parts.append(rows.select(*columns, SURPLUS, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_name").alias("archivo_origen")))
+    return reduce(DataFrame.unionAll, parts).withColumns({"mes_origen": F.lit(month), "fecha_procesamiento": F.current_timestamp()})
 
 
 def is_malformed() -> Column:
@@ -69,7 +75,7 @@ def coerce_types(
     time: str = TIME_HEADING,
     date: str = DATE_HEADING,
 ) -> DataFrame:
-    """Cast the configured columns that are present; values that cannot be read become null.
+    """Cast the configured columns that are present; values that cannot be read or do not fit become null.
 
     Types are fixed, not chosen from the data. Whole numbers written as ``3.0`` are accepted.
     """
@@ -77,7 +83,7 @@ def coerce_types(
     for c in df.columns:
         name = f"`{c}`"
         if c in ints:
-            casts[c] = F.expr(f"CAST(try_cast({name} AS DOUBLE) AS INT)")
+            casts[c] = F.expr(f"try_cast(try_cast({name} AS DOUBLE) AS INT)")
         elif c in floats:
             casts[c] = F.expr(f"try_cast({name} AS DOUBLE)")
         elif c == time:
@@ -87,12 +93,14 @@ def coerce_types(
                 F.expr(f"try_cast({name} AS DATE)"), F.try_to_timestamp(F.col(name), F.lit("yyyy/MM/dd")).cast("date")
             )
         elif c == "Id Tlf":
-            casts[c] = F.expr(f"try_cast({name} AS BIGINT)")
+            exact = f"try_cast({name} AS DECIMAL(38, 9))"
+            casts[c] = F.expr(f"CASE WHEN {exact} = floor({exact}) THEN try_cast({exact} AS BIGINT) END")
     return df.withColumns(casts)
 
 
 def split_bad_files(month: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the readable files, and one error row per file with a malformed line."""
+    """Rows of the readable files, and one error row per file with a malformed line. The text is parsed once."""
+    month = materialise(month, "month")
     bad = materialise(  # one row per malformed file
         month.filter(is_malformed())
         .groupBy("mes_origen", FILE, "archivo_origen")
@@ -148,12 +156,15 @@ def read_consolidated(spark: SparkSession, target: str) -> DataFrame:
 
 
 def ingest_months(spark: SparkSession, base: str, months: Sequence[str], target: str) -> DataFrame:
-    """Load each month folder into ``target``; returns the errors, the run goes on past them."""
+    """Load each month folder into ``target``; returns the errors, the run goes on past them.
+
+    A month that was loaded before is replaced.
+    """
     problems = []
-    for month in months:
+    for month in dict.fromkeys(months):
         rows, errors = load_month(spark, base, month)
         if rows is not None:
-            write_month(rows, target)
+            write_month(rows, target, replace=True)
         problems.append(errors)
     return consolidate(problems)
 

@@ -15,6 +15,8 @@ from tillwatch.session import materialise
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, or None where nothing has been written yet."""
+    if not exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as problem:
@@ -23,6 +25,16 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_table(spark: SparkSession, base: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A table, read lazily; filters and column choices reach the files."""
     df = spark.read.parquet(f"{base.rstrip('/')}/{name}")
@@ -77,14 +89,6 @@ def merge_rows(current: DataFrame, incoming: DataFrame, keys: Sequence[str], upd
     return both.select(*[F.col(c) if c in keys else merged(c) for c in current.columns])
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], newest: str, ties: Sequence[str] = ()) -> DataFrame:
-    """One row per key, the one with the greatest ``newest`` (then the greatest of each tie column)."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    picked = df.groupBy(*keys).agg(F.max_by(row, F.struct(newest, *ties)).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
-
-
 def upsert_partitions(
     spark: SparkSession,
     incoming: DataFrame,
@@ -93,13 +97,40 @@ def upsert_partitions(
     updates: Sequence[str],
     partition: str,
 ) -> None:
-    """Merge into a table partitioned by ``partition`` (a function of the key), rewriting only the partitions met."""
+    """Merge into a table partitioned by ``partition`` (a function of the key), rewriting only the partitions met.
+
+    The merged partitions are written beside the table first. If the run stops while they replace the
+    old ones, the next merge (or ``finish_merge``) puts them in place before it reads, so nothing is lost and a replay
+    gives the same table.
+    """
+    finish_merge(spark, target, partition)
     stored = stored_table(spark, target)
     if stored is not None:
         met = [r[0] for r in incoming.select(partition).distinct().collect()]  # days of one load
         current = stored.filter(F.col(partition).isin(met)).select(*incoming.columns)
         incoming = merge_rows(current, incoming, [*keys, partition], updates)
-    incoming.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+    incoming.write.mode("overwrite").partitionBy(partition).parquet(_pending(target))
+    finish_merge(spark, target, partition)
+
+
+def _pending(target: str) -> str:
+    return f"{target.rstrip('/')}_pendiente"
+
+
+def finish_merge(spark: SparkSession, target: str, partition: str) -> None:
+    """Put complete merged partitions that lie beside the table in place, and remove them."""
+    pending = _pending(target)
+    if not exists(spark, pending):
+        return
+    if exists(spark, f"{pending}/_SUCCESS"):
+        merged = stored_table(spark, pending)
+        if merged is not None:
+            _replace_partitions(merged, target, partition)
+    remove(spark, pending)
+
+
+def _replace_partitions(merged: DataFrame, target: str, partition: str) -> None:
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
 
 
 def upsert_alerts(spark: SparkSession, alerts: DataFrame, target: str) -> None:

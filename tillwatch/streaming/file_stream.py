@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.operators.isolation_forest import Forest
 from tillwatch.operators.rules import file_alerts, file_totals, score_totals, with_history
-from tillwatch.session import materialise
+from tillwatch.session import materialise, scratch
 from tillwatch.sources.quarter_files import parse_lines, with_file, with_position
 from tillwatch.sources.tables import upsert_alerts
 
@@ -37,7 +37,7 @@ def detect_in_files(
 def watch_files(
     spark: SparkSession,
     folder: str,
-    scored_profile: DataFrame,
+    scored_profile: DataFrame | Callable[[], DataFrame],
     target: str,
     checkpoint: str,
     files_per_trigger: int = 100,
@@ -45,14 +45,20 @@ def watch_files(
     model_range: tuple[float, float] | None = None,
     on_unknown: Callable[[DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Process new files of ``folder`` every 15 minutes and merge their alerts into the table at ``target``."""
+    """Process new files of ``folder`` every 15 minutes and merge their alerts into the table at ``target``.
+
+    A function as ``scored_profile`` is asked for every batch, so a long run uses the newest profile. Work folders of a batch
+    are removed once its alerts are merged.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        lines = materialise(with_position(batch), "lines")
-        alerts, unknown = detect_in_files(lines, scored_profile, model_range=model_range)
-        upsert_alerts(batch.sparkSession, alerts.withColumn("lote", F.lit(batch_id)), target)
-        if on_unknown is not None:
-            on_unknown(unknown)
+        with scratch(batch.sparkSession):
+            profile = scored_profile() if callable(scored_profile) else scored_profile
+            lines = materialise(with_position(batch), "lines")
+            alerts, unknown = detect_in_files(lines, profile, model_range=model_range)
+            upsert_alerts(batch.sparkSession, alerts.withColumn("lote", F.lit(batch_id)), target)
+            if on_unknown is not None:
+                on_unknown(unknown)
 
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     writer = with_file(stream).writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwatch.operators.rollup import note_rollup_aggregates, rollup_notes
-from tillwatch.session import materialise
+from tillwatch.session import materialise, scratch
 from tillwatch.sources.tables import upsert_partitions
 
 
@@ -54,16 +54,17 @@ def maintain_rollup(
 ) -> StreamingQuery:
     """Keep the roll-up table at ``target`` current: each trigger rewrites the days whose buckets changed.
 
-    Replaying a trigger writes the same rows again, so a lost driver or
-    executor leaves no duplicates.
+    Replaying a trigger writes the same rows again, and a merge that was stopped is finished first, so a
+    lost driver or executor leaves no duplicates and no gaps.
     """
     keys = [policy.column, *KEYS]
 
     def refresh(batch: DataFrame, _: int) -> None:
-        dated = materialise(batch.withColumn("dia", F.to_date(policy.column)), "changed-buckets")
-        if not dated.isEmpty():
-            values = [c for c in dated.columns if c not in keys and c != "dia"]
-            upsert_partitions(batch.sparkSession, dated, target, keys, values, "dia")
+        with scratch(batch.sparkSession):
+            dated = materialise(batch.withColumn("dia", F.to_date(policy.column)), "changed-buckets")
+            if not dated.isEmpty():
+                values = [c for c in dated.columns if c not in keys and c != "dia"]
+                upsert_partitions(batch.sparkSession, dated, target, keys, values, "dia")
 
     writer = (
         rollup_stream(dispensed, policy)
