@@ -216,3 +216,19 @@ def test_pattern_function(spark):
     hour = spark.sql("SELECT * FROM get_patron_cajero('7', 5)").first()
     assert hour == rollup.machine_pattern(df, "7", 5).first()
     assert spark.sql("SELECT * FROM get_patron_cajero('8')").first().num_transacciones == 0
+
+
+def test_transaction_features_take_few_jobs_and_two_passes(spark):
+    from catalog import tables
+    from tillwatch.session import materialise
+
+    fact = materialise(tables.transactions(spark, "/root/testdata/sf0.001"), "fact")
+    machines = materialise(tables.machines(spark, "/root/testdata/sf0.001"), "machines")
+    spark.sparkContext.setJobGroup("few", "features")
+    try:
+        rows = transactions.transaction_features(fact, machines)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 16
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("id_tlf" in line for line in plan.splitlines() if "Relation [" in line) == 1  # the other pass is in the table of hours

@@ -53,7 +53,8 @@ def test_running_count_equals_running_sum(hot):
 
 
 def test_slices_get_finer_for_a_hot_key(hot):
-    units = [skew.slice_unit(hot, ["k"], "ts", n) for n in (10_000, 1000, 30, 1)]
+    hours = skew.hourly(hot, ["k"], "ts")
+    units = [skew.slice_unit(hot, ["k"], "ts", hours, n) for n in (10_000, 1000, 30, 1)]
     assert units == ["month", "hour", "minute", "second"]
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions.calendar import is_dawn, is_night, is_weekend
-from tillwatch.plans.skew import lookup_join, micros, with_previous
+from tillwatch.plans.skew import hourly, lookup_join, micros, with_previous
 from tillwatch.schemas import (
     DISPENSING_TYPES,
     OPERATION_CODES,
@@ -52,11 +52,11 @@ def with_value_flags(transactions: DataFrame) -> DataFrame:
     )
 
 
-def with_gap(transactions: DataFrame) -> DataFrame:
+def with_gap(transactions: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Seconds since the previous transaction at the machine, and whether that is fast."""
     gap = (micros("fecha_transaccion") - micros("_previa")) / F.lit(1_000_000)
     return (
-        with_previous(transactions, ["cod_terminal"], "fecha_transaccion", ["id_tlf"], "_previa")
+        with_previous(transactions, ["cod_terminal"], "fecha_transaccion", ["id_tlf"], "_previa", hours=hours)
         .withColumn("tiempo_desde_anterior_seg", gap)
         .withColumn(
             "es_transaccion_rapida", F.coalesce(F.col("tiempo_desde_anterior_seg") < FAST_SECONDS, F.lit(False))
@@ -65,22 +65,41 @@ def with_gap(transactions: DataFrame) -> DataFrame:
     )
 
 
-def machine_statistics(transactions: DataFrame) -> DataFrame:
+def machine_hours(transactions: DataFrame) -> DataFrame:
+    """Counts, moments and edges per machine and hour: the one pass that the slices and the statistics come from."""
+    amount = "valor_transaccion"
+    return hourly(
+        transactions,
+        ["cod_terminal"],
+        "fecha_transaccion",
+        _first=F.min("fecha_transaccion"),
+        _ids=F.count("id_tlf"),
+        _rejected=F.count_if(F.col("cod_estado_transaccion") == STATE_REJECTED),
+        _amounts=F.count(amount),
+        _mean=F.avg(amount),
+        _variance=F.var_pop(amount),
+    )
+
+
+def machine_statistics(transactions: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Per machine: count, mean and deviation of the amount, rejection rate, mean gap.
 
     The gaps between consecutive rows add up to last minus first, so their mean
-    needs no ordered window.
+    needs no ordered window. Deviations of hours are merged around the machine's mean.
     """
-    ts = micros("fecha_transaccion")
-    n = F.count(F.lit(1))
-    return transactions.groupBy("cod_terminal").agg(
-        F.count("id_tlf").alias("tx_total_cajero"),
-        F.avg("valor_transaccion").alias("monto_promedio_cajero"),
-        F.stddev_samp("valor_transaccion").alias("monto_std_cajero"),
-        F.avg(F.when(F.col("cod_estado_transaccion") == STATE_REJECTED, 1.0).otherwise(0.0)).alias(
-            "tasa_rechazo_cajero"
-        ),
-        F.try_divide((F.max(ts) - F.min(ts)) / F.lit(1_000_000), n - 1).alias("velocidad_promedio_cajero"),
+    hours = machine_hours(transactions) if hours is None else hours
+    machine = Window.partitionBy("cod_terminal")
+    weight = F.coalesce(F.col("_mean"), F.lit(0.0)) * F.col("_amounts")
+    mean = F.try_divide(F.sum(weight).over(machine), F.sum("_amounts").over(machine))
+    squares = F.col("_amounts") * (F.col("_variance") + (F.col("_mean") - F.col("_all")) * (F.col("_mean") - F.col("_all")))
+    first, last = F.min(micros("_first")), F.max(micros("_last"))
+    n, amounts = F.sum("_n"), F.sum("_amounts")
+    return hours.withColumn("_all", mean).groupBy("cod_terminal").agg(
+        F.sum("_ids").alias("tx_total_cajero"),
+        F.max("_all").alias("monto_promedio_cajero"),
+        F.when(amounts > 1, F.sqrt(F.sum(squares) / (amounts - 1))).alias("monto_std_cajero"),
+        (F.sum("_rejected") / n).alias("tasa_rechazo_cajero"),
+        F.try_divide((last - first) / F.lit(1_000_000), n - 1).alias("velocidad_promedio_cajero"),
     )
 
 
@@ -114,8 +133,9 @@ def with_machine_flags(transactions: DataFrame, machines: DataFrame) -> DataFram
 
 def transaction_features(transactions: DataFrame, machines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The whole per-transaction feature table in its stored types."""
+    hours = machine_hours(transactions)
     rows = with_value_flags(with_calendar(transactions))
-    rows = with_machine_flags(with_machine_statistics(with_gap(rows), machine_statistics(transactions)), machines)
+    rows = with_machine_flags(with_machine_statistics(with_gap(rows, hours), machine_statistics(transactions, hours)), machines)
     rows = rows.withColumnRenamed("id_tlf", "id_transaccion")
     return rows.select(*[stored(c, t) for c, t in TRANSACTION_FEATURES.items()], *keep)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,14 +63,36 @@ def _slice(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
-def slice_unit(df: DataFrame, keys: Sequence[str], ts: str, max_rows: int = SLICE_ROWS) -> str:
+#: Units that a table of hours can be folded to.
+COARSE_UNITS = SLICE_UNITS[:3]
+
+
+def hourly(df: DataFrame, keys: Sequence[str], ts: str, **more: Column) -> DataFrame:
+    """Rows (_n), last time (_last) and further aggregates per key and hour, written once.
+
+    One pass over a large table from which slices, carries and statistics per key are taken.
+    """
+    totals = df.groupBy(*keys, _slice(ts, "hour").alias("_hour")).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(ts).alias("_last"), *[c.alias(n) for n, c in more.items()]
+    )
+    return materialise(totals, "hourly")
+
+
+def slice_unit(df: DataFrame, keys: Sequence[str], ts: str, hours: DataFrame, max_rows: int = SLICE_ROWS) -> str:
     """The coarsest time unit in which no key has more than ``max_rows`` rows.
 
-    Each try is one partially aggregated count that reads the key and the time only.
+    Units down to the hour are tried together on the table ``hours``; only if an hour is too large the table itself is counted.
     """
+
+    def largest(rows: DataFrame, unit: str, time: str, n: Column) -> DataFrame:
+        return rows.groupBy(*keys, _slice(time, unit)).agg(n.alias("n")).agg(F.lit(unit).alias("unit"), F.max("n").alias("n"))
+
+    tried = reduce(DataFrame.unionAll, [largest(hours, u, "_hour", F.sum("_n")) for u in COARSE_UNITS]).collect()
+    sizes = {r.unit: r.n or 0 for r in tried}
     for unit in SLICE_UNITS[:-1]:
-        largest = df.groupBy(*keys, _slice(ts, unit).alias("_slice")).count().agg(F.max("count")).first()[0]
-        if (largest or 0) <= max_rows:
+        if unit not in sizes:
+            sizes[unit] = largest(df, unit, ts, F.count(F.lit(1))).first().n or 0
+        if sizes[unit] <= max_rows:
             return unit
     return SLICE_UNITS[-1]
 
@@ -81,19 +104,22 @@ def with_previous(
     tie: Sequence[str],
     out: str,
     unit: str | None = None,
+    hours: DataFrame | None = None,
 ) -> DataFrame:
     """Add the time of the previous row of the same key.
 
     The window is cut into time slices, so a hot key is many small groups. The
     first row of a slice takes the last time of the key's preceding slice from
     a table with one row per key and slice. Without a ``unit`` the slices are
-    as coarse as the hottest key allows.
+    as coarse as the hottest key allows. ``hours`` is ``hourly`` of ``df`` if there is one already.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", _slice(ts, unit or slice_unit(df, keys, ts)))
-    edges = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias("_last"))
-    carry = edges.select(
-        *keys, "_slice", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
+    hours = hourly(df, keys, ts) if hours is None else hours
+    unit = unit or slice_unit(df, keys, ts, hours)
+    sliced = df.withColumn("_slice", _slice(ts, unit))
+    last = _per_slice(sliced, hours, keys, unit, F.max("_last") if unit in COARSE_UNITS else F.max(ts))
+    carry = last.select(
+        *keys, "_slice", F.lag("_value").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry")
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts, *tie)
     return (
@@ -103,6 +129,12 @@ def with_previous(
     )
 
 
+def _per_slice(sliced: DataFrame, hours: DataFrame, keys: list[str], unit: str, value: Column) -> DataFrame:
+    """One value per key and slice, from the table of hours where slices are hours at least."""
+    rows = hours.withColumn("_slice", _slice("_hour", unit)) if unit in COARSE_UNITS else sliced
+    return rows.groupBy(*keys, "_slice").agg(value.alias("_value"))
+
+
 def micros(ts: str | Column) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(ts.cast("timestamp"))
@@ -141,12 +173,13 @@ def with_running_count(
 ) -> DataFrame:
     """Running count of ``condition`` per key in time order, by slices plus the total of earlier slices."""
     keys = list(keys)
-    sliced = df.withColumn("_slice", _slice(ts, unit or slice_unit(df, keys, ts))).withColumn(
-        "_hit", F.when(condition, 1).otherwise(0)
-    )
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_hit").alias("_hits"))
+    hit = F.when(condition, 1).otherwise(0)
+    hours = hourly(df, keys, ts, _hits=F.sum(hit))
+    unit = unit or slice_unit(df, keys, ts, hours)
+    sliced = df.withColumn("_slice", _slice(ts, unit)).withColumn("_hit", hit)
+    totals = _per_slice(sliced, hours, keys, unit, F.sum("_hits") if unit in COARSE_UNITS else F.sum("_hit"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_slice", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_before"))
+    carry = totals.select(*keys, "_slice", F.coalesce(F.sum("_value").over(earlier), F.lit(0)).alias("_before"))
     inside = (
         Window.partitionBy(*keys, "_slice").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
