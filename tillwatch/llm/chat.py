@@ -108,11 +108,12 @@ def render(messages: DataFrame, learned_role: str = "assistant") -> DataFrame:
         ).alias("span"),
     )
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "turn", "span"))).alias("turns"))
-    return whole.select(
-        "conv_id",
+    rendered = F.struct(
         F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"),
         F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
     )
+    # As the output of a generator the text is made once, also where it is read within a lambda.
+    return whole.select("conv_id", F.inline_outer(F.array(rendered)))
 
 
 def turns(formatted: Column) -> Column:
