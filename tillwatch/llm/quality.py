@@ -110,8 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     totals = {r.quality: r.n for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id")
     chosen = [marks.where(F.col("quality") == q).orderBy(order, "doc_id").limit(sample) for q in (0, 1)]
-    # At most 2 * sample rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+    # At most 2 * sample rows of two numbers; the limit holds the bound if ids of documents repeat.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").limit(2 * sample)
     x, y = collect_vectors(rows, "quality", vectors, SIZE)
     y = np.array(y, np.int64)
     if len(set(y.tolist())) < 2:
