@@ -142,17 +142,17 @@ def _(spark, sf):
     "s04_lineage",
     with_tables(
         "tx",
-        "SELECT mes_origen, count(*) AS filas, count(*) AS con_archivo, count(*) AS con_fecha FROM tx"
-        " GROUP BY mes_origen",
+        "SELECT id_tlf, mes_origen, true AS con_archivo, true AS con_fecha FROM tx",
     ),
 )
 def _(spark, sf):
     base = write_extract(spark, sf)
     rows = me.consolidate([me.load_month(spark, base, m, recursive=True)[0] for m in months(spark, sf)])
-    return rows.groupBy("mes_origen").agg(
-        F.count(F.lit(1)).alias("filas"),
-        F.count_if(F.col("archivo_origen").endswith(".csv")).alias("con_archivo"),
-        F.count("fecha_procesamiento").alias("con_fecha"),
+    return rows.select(
+        F.col("Id Tlf").alias("id_tlf"),
+        "mes_origen",
+        F.col("archivo_origen").endswith(".csv").alias("con_archivo"),
+        F.col("fecha_procesamiento").isNotNull().alias("con_fecha"),
     )
 
 
@@ -573,12 +573,7 @@ DAY = "fecha_hora >= TIMESTAMP '2024-01-10' AND fecha_hora < TIMESTAMP '2024-01-
 
 @query(
     "t02_refresh_range",
-    with_tables(
-        "de",
-        f"SELECT CAST(time_bucket(INTERVAL '15 minutes', fecha_hora) AS DATE) AS dia, count(*) AS buckets,"
-        f" CAST(sum(n) AS BIGINT) AS registros FROM (SELECT time_bucket(INTERVAL '15 minutes', fecha_hora) AS"
-        f" fecha_hora, cod_cajero, cod_admin_efectivo, count(*) AS n FROM de WHERE {DAY} GROUP BY ALL) GROUP BY 1",
-    ),
+    f"SELECT * FROM ({f._note_sql(15, 'bucket_15min')}) WHERE {DAY.replace('fecha_hora', 'bucket_15min')}",
 )
 def _(spark, sf):
     target, policy = work_dir(spark, "rollup"), rst.POLICIES["15min"]
@@ -586,9 +581,7 @@ def _(spark, sf):
     early = records.filter(F.hour("fecha_hora") < 12)  # what was there before the late rows came
     for rows in (early, records):
         rst.refresh_range(spark, rows, policy, target, "2024-01-10", "2024-01-12 23:59:59")
-    return spark.read.parquet(target).groupBy("dia").agg(
-        F.count(F.lit(1)).alias("buckets"), F.sum("num_registros").alias("registros")
-    )
+    return rounded(spark.read.parquet(target).drop("dia"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.plans.skew import lookup_join
 from tillwatch.schemas import ADMIN_CODES, DENOMINATIONS, DISPENSING_CODES
+from tillwatch.session import materialise
 
 STAMP = "yyyyMMddHHmmss"
 
@@ -32,7 +33,8 @@ def with_position(lines: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return with_position(with_file(spark.read.text(path)))
+    """Numbered lines of files, written once: all later steps see the same numbers."""
+    return materialise(with_position(with_file(spark.read.text(path))), "lines")
 
 
 def _stamp(text: Column) -> Column:
