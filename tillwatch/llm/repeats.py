@@ -138,7 +138,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     seen = map_columns(docs.select(*KEY, "text"), ["text"], [T.StructField("runs", RUNS)], lambda t: [runs_of(t, length, seed)])
     seen = materialise(seen.select(*KEY, F.inline("runs")), "seeds")
     anchors = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("extent").alias("low"), F.max("extent").alias("high"))
-    anchors = anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("ends_differ"))
+    # Written, so that a join with a hot anchor has a plain exchange on both sides and can be split.
+    anchors = materialise(anchors.where("c > 1").select("anchor", (F.col("low") != F.col("high")).alias("ends_differ")), "anchors")
     met = materialise(seen.join(anchors, "anchor"), "met")
 
     sample = F.min(F.struct(*KEY, "at", "n")).alias("sample")
@@ -149,7 +150,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     texts = docs.select(*KEY, "text").join(asked, KEY)
     windows = map_columns(texts, ["text", "runs"], [T.StructField("windows", WINDOWS)], lambda t, r: [windows_of(t, r, length)])
     windows = materialise(windows.select(F.inline("windows")), "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    twice = materialise(windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "twice")
     partial = windows.join(twice, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.collect_set("offset").alias("offsets"))
     # An extent that occurs twice is hit as a whole: no offsets.
     whole = extents.where("copies > 1").select("anchor", "extent", F.array().cast("array<int>").alias("offsets"))
