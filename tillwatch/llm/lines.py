@@ -12,8 +12,11 @@ each other (substitution), or of the one whole line (insertion). Nothing is pair
 distance of a line and its earlier partner is verified on the texts.
 
 Hashes of the line without each character come from running XORs over (character, place), so a long line
-costs as many steps as it has characters. Lines whose halves occur in no other line cannot be within an
-edit of one: one of the halves would have to be equal. They give no keys.
+costs as many steps as it has characters.
+
+Lines that cannot have a partner give no keys. An edit lies in one half of a line, so the other half has to
+occur in another line; and it lies in one of up to 64 short segments, so all around that has to occur too. Both are
+tested for all lines, by counts of hashes.
 """
 
 from __future__ import annotations
@@ -41,6 +44,33 @@ def _halves() -> Column:
     return F.array(*keys)
 
 
+#: Segments have at least so many characters, and a line has at most so many segments.
+SEGMENT, SEGMENTS = 8, 64
+
+
+def _around() -> Column:
+    """Hashes of all around each segment of a line, and of what a line shorter by one would have there."""
+    line, chars = F.col("line"), F.col("chars")
+
+    def outside(m: Column, own: bool) -> Column:
+        size = F.greatest(F.lit(SEGMENT), F.ceil(m / SEGMENTS).cast("int"))
+
+        def key(k: Column) -> Column:
+            tail = F.greatest(m - (k + 1) * size, F.lit(0))
+            hashed = F.xxhash64(F.lit("around"), m, k, F.substr(line, F.lit(1), k * size), F.substr(line, chars - tail + 1, tail))
+            return F.struct(hashed.alias("around"), F.lit(own).alias("own"))
+
+        return F.transform(F.sequence(F.lit(0), F.ceil(m / size).cast("int") - 1), key)
+
+    return F.concat(outside(chars, True), outside(chars - 1, False))
+
+
+def _with_company(hashes: DataFrame, column: str) -> DataFrame:
+    """Ids of the lines that share one of their ``hashes`` with another line, one of them as its own."""
+    shared = hashes.groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 AND own").select(column)
+    return hashes.join(materialise(shared, column), column).select(*ID).distinct()
+
+
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """All keys of lines (id1, id2, first, chars, line): key, role, id1, id2, first."""
     chars = lines.select(*ID, "first", "chars", F.posexplode_outer(F.split("line", "")).alias("at", "c")).where("c <> ''")
@@ -107,17 +137,16 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
     distinct = materialise(distinct, "distinct")
     marked = distinct.where("copies > 1").select(*ID, "first", F.lit(False).alias("near"))
     if max_edits:
-        halves = distinct.select(*ID, F.inline("halves"))
-        shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 AND own").select("half")
-        shared = materialise(shared, "halves")
-        wanted = halves.join(shared, "half").select(*ID).distinct().join(distinct.select(*ID, "first", "chars"), ID)
+        wanted = _with_company(distinct.select(*ID, F.inline("halves")), "half")
+        wanted = wanted.join(distinct.select(*ID, "first", "chars"), ID)
         wanted = wanted.groupBy(*[F.col(f"first.{k}") for k in KEY]).agg(
             F.collect_list(F.struct(*ID, F.struct("first.*").alias("first"), "chars")).alias("wanted")
         )
         split = docs.select(*KEY, F.split("text", LINES).alias("split")).join(wanted, KEY)
         taken = F.transform("wanted", lambda w: F.struct(w["id1"].alias("id1"), w["id2"].alias("id2"), w["first"].alias("first"), w["chars"].alias("chars"), F.get("split", w["first"]["n"]).alias("line")))
         candidates = materialise(split.select(F.inline(taken)).dropDuplicates(ID), "candidates")
-        near = materialise(_near(candidates, max_edits), "near")
+        close = _with_company(candidates.select(*ID, F.inline(_around())), "around")
+        near = materialise(_near(materialise(candidates.join(close, ID), "close"), max_edits), "near")
         marked = marked.join(near, ID, "left_anti").unionByName(near.join(distinct, ID).select(*ID, "first", F.lit(True).alias("near")))
     marked = materialise(marked, "marked")
     gone = lines.select(*KEY, "n", *ID).join(marked, ID).where(F.col("near") | (F.struct(*KEY, "n") != F.col("first")))
