@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tillwatch.session import prepare
 
 #: An Arrow batch of texts is cut at so many bytes (a longer single text is a batch of its own).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -24,7 +24,7 @@ MARK = "▁".encode()
 #: Longer chunks are segmented one by one instead of together.
 LONG = 64
 #: Distinct chunks segmented together.
-TOGETHER = 50_000
+TOGETHER = 25_000
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | float | bytes]]:
