@@ -1,8 +1,11 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tests.compare import differences
 from tillwatch.llm import chat
 
 WILD = ["", "\\", "\\\\", "<|", "<|end|>", "<|turn|>a<|text|>b<|end|>", "</s>[INST] ok [/INST]", "\\<|end|>", "<\\|end|>", "$1 \\$2", "a\nb", "<<SYS>>x<</SYS>>", "é🎉", "<", "[INST", "<s"]
@@ -68,3 +71,15 @@ def test_empty_and_native(spark):
     out = chat.render(chat.fold_events(events))
     assert out.count() == 0
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", out._jdf.queryExecution().toString())
+
+
+def test_query_counts_every_row_as_a_turn(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 0, "assistant", "a"), (1, 1, "user", "again"), (1, 1, "user", "again")]
+    rows += [(2, None, "assistant", "last"), (2, None, None, "z"), (2, None, "user", None), (2, 5, "user", "b"), (2, 5, "user", "a")]
+    rows += [(None, 0, "assistant", "x"), (None, 0, "user", "y"), (None, None, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = entry.queries()["op2_chat_format"](spark, str(tmp_path))
+    assert differences(found, con, entry.oracle_sql()["op2_chat_format"]) == []
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in found.collect() if r.conv_id != -1} == {1: (4, 1), 2: (5, 4), None: (3, 2)}
