@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -117,3 +118,34 @@ def test_secret_neighbours(spark):
     docs = spark.createDataFrame([(1, "before AAAAAAAAAAAAAAAAAAAA mid BBBBBBBBBBBBBBBBBBBB"), (2, "CCCCCCCCCCCCCCCCCCCC\nDDDDDDDDDDDDDDD")], "doc_id long, text string")
     got = sorted((r.token[0], r.before, r.after, r.path) for r in secrets.find_candidates(docs).collect())
     assert got == [("A", "before ", " mid ", ""), ("B", " mid ", "", ""), ("C", "", "\nDDDDDDDDDDDDDDD", "")]
+
+
+def test_secrets_in_common_forms(spark):
+    draw = random.Random(2)
+    key = lambda n=40: "".join(draw.choices("0123456789abcdef", k=n))
+    forms = ["export API_KEY={}", 'aws_secret_access_key = "{}"', "database_password: {}", "Authorization: Bearer {}", "api-key: {}", "db_password_main={}", 'accessToken: "{}"']
+    kept = [(i, k := key(), f"some words here\n{forms[i % len(forms)].format(k)}\nand more") for i in range(70)]
+    none = [(100 + i, "internationalization" + "abc" * (i % 5), "") for i in range(70)]
+    docs = spark.createDataFrame([(i, t or f"on {k} and so on, revision {key()} of it") for i, k, t in kept + none], "doc_id long, text string")
+    found = secrets.scan(docs, secrets.triage).collect()
+    values = {r.doc_id: r for r in found if r.doc_id < 100 and r.token == kept[r.doc_id][1]}
+    assert len(values) == 70
+    assert all(r.credential_before == r.assigned == 1 and r.is_secret for r in values.values())
+    assert not any(r.is_secret for r in found if r.doc_id >= 100)
+    labelled = {(r.doc_id, r.token): r.label for r in secrets.triage(spark.createDataFrame(found)).collect()}
+    assert all(labelled[i, k] == 1 for i, k, _ in kept)
+    assert {v for (i, _), v in labelled.items() if i >= 100} == {0} and labelled[1, "aws_secret_access_key"] is None
+
+
+def test_secret_runs_and_what_leads_to_them(spark):
+    rows = [(1, "x=AAAAAAAAAAAAAAAAAAAA== y"), (2, 'NAME_OF_SIXTEEN_="BBBBBBBBBBBBBBBB="'), (3, "a=CCCCCCCCCCCCCC==&b=DDDDDDDDDDDDDDD="), (4, "E" * 60 + " at " + "F" * 16)]
+    got = sorted((r.doc_id, r.token, r.lead) for r in secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [
+        (1, "A" * 20 + "==", "x="),
+        (2, "B" * 16 + "=", 'NAME_OF_SIXTEEN_="'),
+        (2, "NAME_OF_SIXTEEN_", ""),
+        (3, "C" * 14 + "==", "a="),
+        (3, "D" * 15 + "=", "a=" + "C" * 14 + "==&b="),
+        (4, "E" * 60, ""),
+        (4, "F" * 16, "E" * 44 + " at "),
+    ]
