@@ -149,3 +149,25 @@ def test_secret_runs_and_what_leads_to_them(spark):
         (4, "E" * 60, ""),
         (4, "F" * 16, "E" * 44 + " at "),
     ]
+
+
+def test_short_secrets_are_candidates(spark):
+    forms = {
+        'password = "hunter2!Xy"': "hunter2!Xy",
+        "db_password: abc123def456, x": "abc123def456",
+        "see postgres://admin:s3cr3t!pw@db.host/x": "s3cr3t!pw",
+        "The pwd: hunter2xyz. Then": "hunter2xyz",
+        "https://x.y/?token=abc.123&user=someone": "abc.123",
+        "Authorization: Basic dXNlcjpw": "dXNlcjpw",
+        "{'apiKey': 'k&9=:x.'}": "k&9=:x.",
+        "PASSWORD=a&b.12345..": "a&b.12345",
+        "access token := " + "ab.9" * 5000: "ab.9" * 5000,
+        "secret: 9f86d081884c7d659a2f!x": "9f86d081884c7d659a2f!x",
+        "author: someone compass: northern tokenizer: wordpiece": None,
+        "password: abc.. token = 12345 http://host:8080/a@b": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    words = secrets.dictionary(docs)
+    found = secrets.with_features(secrets.find_candidates(docs), words).collect()
+    assert {(r.doc_id, r.token) for r in found} == {(i, v) for i, v in enumerate(forms.values()) if v}
+    assert all(r.credential_before == 1 and r.assigned == 1 for r in found)
