@@ -171,3 +171,11 @@ def test_short_secrets_are_candidates(spark):
     found = secrets.with_features(secrets.find_candidates(docs), words).collect()
     assert {(r.doc_id, r.token) for r in found} == {(i, v) for i, v in enumerate(forms.values()) if v}
     assert all(r.credential_before == 1 and r.assigned == 1 for r in found)
+
+
+def test_secret_dictionary_has_all_words(spark):
+    frequent = spark.range(20_500).selectExpr("id AS doc_id", "translate(lpad(conv(id, 10, 8), 6, '0'), '01234567', 'stuvwxyz') AS word")
+    docs = frequent.selectExpr("doc_id", "concat_ws(' ', word, word) AS text").unionByName(spark.createDataFrame([(-1, "jkkjw " + "jkkj" * 4)], "doc_id long, text string"))
+    words = secrets.dictionary(docs)
+    assert words.count() == 20_501
+    assert secrets.with_features(secrets.find_candidates(docs), words).first().coverage == 4 / 13
