@@ -1,7 +1,7 @@
 import random
 import re
 
-from tillwatch.llm.decontaminate import find_leaks
+from tillwatch.llm.decontaminate import _blocks, find_leaks
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -46,3 +46,11 @@ def test_empty_tables(spark):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, nothing).first()[2:] == (2, 0, [], [])
     assert find_leaks(docs.limit(0), nothing).count() == 0
+
+
+def test_copies_of_an_item_do_not_fill_a_block(spark):
+    rows = [(1, "the same ten words"), (None, "q")] * 300 + [(i, f"item number {i}") for i in range(2, 12)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = [b.collect() for b in _blocks(benchmark, 60)]
+    assert sorted((r.item, bytes(r.text).decode()) for b in blocks for r in b) == sorted({("" if i is None else str(i), t) for i, t in rows})
+    assert len(blocks) == 3 and max(sum(len(r.text) for r in b) for b in blocks) <= 120

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwatch.llm.batches import code_points, map_columns, raw
+from tillwatch.session import materialise
 
 WINDOW = 10
 #: Items are scanned for in blocks of about so many bytes of text, each one automaton of bounded size.
@@ -92,7 +93,8 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int, int
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
     """The items in blocks of a checked size; one is collected at a time."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("text"))
-    items = items.where(F.col("text").isNotNull())
+    # Copies would all fall into one block.
+    items = materialise(items.where(F.col("text").isNotNull()).distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
