@@ -81,3 +81,8 @@ def test_no_python_and_no_pairs_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
     with pytest.raises(ValueError):
         dedup_lines(docs, 2)
+
+
+def test_shorter_lines_are_no_partners(spark):
+    docs = spark.createDataFrame([(1, "abcdefghi\nabcdefghi"), (2, "abcdefghij\nabcdefghijk")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {1: "abcdefghi\nabcdefghi", 2: "abcdefghij"}

@@ -118,7 +118,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = MIN_CHARS)
 
     Lines end at ``\\n``. A line of at least ``min_chars`` code points goes if an earlier line of the
     input, gone itself or not, is equal or (``max_edits`` = 1) within one insertion, deletion or substitution of a
-    code point. Earlier is a smaller doc_id (null first), then a smaller hash of the text, then a smaller place.
+    code point. Shorter lines take no part: they stay, and are no earlier line for others, so a line of ``min_chars``
+    stays if all it has is a neighbour shorter by one. Other values of ``max_edits`` are an error. Earlier is a smaller doc_id (null first), then a smaller hash of the text, then a smaller place.
     Lines that stay keep their order. Null texts stay null and have no lines, the empty text has one. Rows equal in
     id and text are one document and stay alike. Columns n_lines and n_removed of ``docs`` are replaced.
     Two lines count as equal if 128 bits of hash are; distances are verified on the texts.
