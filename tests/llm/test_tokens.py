@@ -3,12 +3,13 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from tillwatch.llm import pieces
 from tillwatch.llm.queries import VOCABULARY
-from tillwatch.llm.sentencepiece import decode, encode, vocabulary_of
+from tillwatch.llm.sentencepiece import decode, decode_lists, encode, piece_texts, vocabulary_of
 from tillwatch.llm.token_counts import count_tokens
 
 TEXTS = [
@@ -79,6 +80,38 @@ def test_decoding_of_foreign_ids(spark):
     assert got[1] == "�" and got[2] == "é" and got[4] == got[5] == "" and got[6] is None and "⁇" in got[0] and "⁇" in got[3]
 
 
+def plain_decode(ids, v):
+    out = b"".join(v.texts[i] if 0 <= i < len(v.texts) else " ⁇ ".encode() for i in ids)
+    first_is_byte = bool(ids) and 0 <= ids[0] < len(v.texts) and v.kinds[ids[0]] == pieces.BYTE
+    return (out[1:] if v.prefix and out[:1] == b" " and not first_is_byte else out).decode("utf-8", "replace")
+
+
+def test_flat_decoding_against_joined_pieces():
+    v, draw = vocabulary_of(VOCABULARY), random.Random(3)
+    special = [0, 1, 2, -1, 10**6, int(v.byte_ids[0x20]), int(v.byte_ids[0xC3]), int(v.byte_ids[0xA9])]
+    table = piece_texts(v)
+    for valid in (True, False):
+        rows = [None if draw.random() < 0.1 else [draw.choice(special) if draw.random() < 0.4 and not valid else draw.randrange(3, 32000) for _ in range(draw.randint(0, 9))] for _ in range(600)]
+        rows = [r and [None if draw.random() < 0.05 else i for i in r] for r in rows]
+        lists = pa.array(rows, pa.list_(pa.int32()))
+        want = [None if r is None else plain_decode([i for i in r if i is not None], v) for r in rows]
+        assert decode_lists(lists, table, v.prefix).to_pylist() == want
+        assert decode_lists(lists[200:300], table, v.prefix).to_pylist() == want[200:300]
+    assert decode_lists(pa.array([], pa.list_(pa.int32())), table, True).to_pylist() == []
+    assert decode_lists(pa.array([None, []], pa.list_(pa.int32())), table, True).to_pylist() == [None, ""]
+
+
+def test_a_full_cache_starts_anew():
+    v, cache = vocabulary_of(VOCABULARY), pieces.Cache()
+    pieces.fill(cache, {b"one", b" two"}, v, False, 10**6)
+    held = cache.held
+    assert held > 300 and len(cache) == 2
+    pieces.fill(cache, {b"one"}, v, False, 10**6)
+    assert cache.held == held
+    pieces.fill(cache, {b"three"}, v, False, held - 1)
+    assert set(cache) == {b"three"} and cache.held < held
+
+
 def test_trie_finds_all_pieces_and_nothing_else():
     keys = {b"a": 0, b"ab": 1, b"abc": 2, b"b": 3, "é".encode(): 4, b" a": 5, b"\xff": 6}
     base, check, value = pieces.double_array(keys)

@@ -312,18 +312,34 @@ def segment(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return ids[::-1]
 
 
-def fill(cache: dict, words: set[bytes], vocabulary: Vocabulary, counts: bool, most: int) -> None:
-    """Add what the cache lacks of words: their number of tokens, or their ids. The cache starts anew beyond ``most``."""
-    missing = words.difference(cache)
-    if len(cache) + len(missing) > most:
+class Cache(dict):
+    """What segmented words gave, and about how many bytes that holds."""
+
+    held = 0
+    #: Two objects and their places in the table.
+    ENTRY = 180
+
+    def add(self, word: bytes, found: bytes | int) -> None:
+        self[word] = found
+        self.held += self.ENTRY + len(word) + (len(found) if isinstance(found, bytes) else 0)
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+def fill(cache: Cache, words: set[bytes], vocabulary: Vocabulary, counts: bool, most: int) -> None:
+    """Add what the cache lacks of words: their number of tokens, or their ids. Beyond ``most`` bytes the cache starts anew."""
+    if cache.held > most:
         cache.clear()
-        missing = words
+    missing = words.difference(cache)
     short = sorted(w for w in missing if len(w) <= LONG)
     for i in range(0, len(short), TOGETHER):
         part = short[i : i + TOGETHER]
         lattice = forward(part, vocabulary)
-        cache.update(zip(part, terminal_counts(lattice).tolist() if counts else backtrack(lattice)))
+        for word, found in zip(part, terminal_counts(lattice).tolist() if counts else backtrack(lattice)):
+            cache.add(word, found)
     for word in missing:
         if len(word) > LONG:
             ids = segment(word, vocabulary)
-            cache[word] = len(ids) if counts else np.array(ids, "<i4").tobytes()
+            cache.add(word, len(ids) if counts else np.array(ids, "<i4").tobytes())

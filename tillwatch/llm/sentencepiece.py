@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillwatch.llm.batches import map_columns, raw
-from tillwatch.llm.pieces import BYTE, Vocabulary, chunks, fill, read_model
+from tillwatch.llm.pieces import BYTE, Cache, Vocabulary, chunks, fill, read_model
 
-#: Chunks whose ids a Python worker keeps from one batch to the next.
-CACHED = 400_000
+#: Bytes of segmented chunks that a Python worker keeps from one batch to the next.
+CACHED = 48 << 20
 
-_ids: dict[bytes, bytes] = {}
+_ids = Cache()
 _of: list = []
 
 
@@ -26,7 +28,7 @@ def vocabulary_of(path: str) -> Vocabulary:
     return read_model(path)
 
 
-def encode_texts(texts: list[bytes | None], vocabulary: Vocabulary, cache: dict[bytes, bytes], most: int = CACHED) -> list[bytes | None]:
+def encode_texts(texts: list[bytes | None], vocabulary: Vocabulary, cache: Cache, most: int = CACHED) -> list[bytes | None]:
     """Ids of each text as little-endian 32-bit integers."""
     pattern = re.compile(vocabulary.chunk)
     split = [chunks(t, vocabulary, pattern) if t else [] for t in texts]
@@ -61,25 +63,64 @@ def encode(docs: DataFrame, path: str, text: str = "text", tokens: str = "tokens
     return map_columns(docs, [text], [T.StructField(tokens, T.ArrayType(T.IntegerType()))], run)
 
 
-def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
-    """Bytes that are no UTF-8 are read as U+FFFD, ids out of range as the unknown piece, control pieces as nothing."""
-    texts = vocabulary.texts
+class PieceTexts(NamedTuple):
+    """What ids decode to, one after the other. The last entry stands for ids out of range."""
+
+    data: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    is_byte: np.ndarray
+
+
+def piece_texts(vocabulary: Vocabulary) -> PieceTexts:
+    texts = [*vocabulary.texts, " ⁇ ".encode()]
+    size = np.array([len(t) for t in texts])
+    return PieceTexts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size, np.append(vocabulary.kinds == BYTE, False))
+
+
+def decode_lists(lists: pa.ListArray, pieces: PieceTexts, prefix: bool) -> pa.Array:
+    """Texts of lists of ids: the bytes of all pieces gathered at once, then cut into rows.
+
+    Bytes that are no UTF-8 are read as U+FFFD, ids out of range as the unknown piece, control pieces
+    as nothing; null ids are left out.
+    """
+    ids, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if ids.null_count:
+        row = np.repeat(np.arange(len(counts)), counts)
+        counts = np.bincount(row[ids.is_valid().to_numpy(zero_copy_only=False)], minlength=len(counts))
+        ids = ids.drop_null()
+    ids = ids.to_numpy(zero_copy_only=False)
+    known = len(pieces.size) - 1
+    ids = np.where((ids >= 0) & (ids < known), ids, known)
+    size = pieces.size[ids]
+    ends = np.cumsum(size)
+    data = pieces.data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(pieces.at[ids] - (ends - size), size)]
+    first = np.cumsum(counts) - counts
+    offsets = np.concatenate(([0], ends))[np.append(first, len(ids))]
+    if prefix and len(data):
+        rows = np.flatnonzero(offsets[1:] > offsets[:-1])
+        cut = rows[(data[offsets[rows]] == 0x20) & ~pieces.is_byte[ids[first[rows]]]]
+        kept = np.ones(len(data), bool)
+        kept[offsets[cut]] = False
+        data = data[kept]
+        gone = np.zeros(len(offsets), np.int64)
+        gone[cut + 1] = 1
+        offsets = offsets - np.cumsum(gone)
+    missing = lists.is_null().to_numpy(zero_copy_only=False)
+    valid = pa.py_buffer(np.packbits(~missing, bitorder="little")) if missing.any() else None
+    out = pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
     try:
-        out = b"".join([texts[i] for i in ids])
-        if ids and min(ids) < 0:
-            raise IndexError
-    except IndexError:
-        out = b"".join([texts[i] if 0 <= i < len(texts) else " ⁇ ".encode() for i in ids])
-    if vocabulary.prefix and out[:1] == b" " and vocabulary.kinds[ids[0]] != BYTE:
-        out = out[1:]
-    return out.decode("utf-8", "replace")
+        return out.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in out.to_pylist()], pa.string())
 
 
 def decode(df: DataFrame, path: str, tokens: str = "tokens", text: str = "decoded") -> DataFrame:
     """``df`` with ``decoded``, the text of the ids in ``tokens``; null gives null, null ids are left out."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary_of(path))
+    shared = df.sparkSession.sparkContext.broadcast(piece_texts(vocabulary_of(path)))
+    prefix = vocabulary_of(path).prefix
 
-    def run(column: pa.Array) -> list:
-        return [[None if ids is None else decode_ids([i for i in ids if i is not None], shared.value) for ids in column.to_pylist()]]
+    def run(column: pa.Array) -> list[pa.Array]:
+        return [decode_lists(column, shared.value, prefix)]
 
     return map_columns(df, [tokens], [T.StructField(text, T.StringType())], run)

@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillwatch.llm.batches import map_columns, raw
-from tillwatch.llm.pieces import chunks, fill
+from tillwatch.llm.pieces import Cache, chunks, fill
 from tillwatch.llm.sentencepiece import vocabulary_of
 
-#: Pre-tokens whose counts a Python worker keeps from one batch to the next.
-CACHED = 800_000
+#: Bytes of counted pre-tokens that a Python worker keeps from one batch to the next.
+CACHED = 96 << 20
 
-_counts: dict[bytes, int] = {}
+_counts = Cache()
 _of: list = []
 
 
