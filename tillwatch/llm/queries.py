@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries, with SQL where SQL can state the result."""
+"""The operators and the pipeline as registered queries, with SQL where SQL can state the result."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from tillwatch.llm import chat, decontaminate, language, lines, quality, repeats, secrets, sentencepiece, simhash, token_counts
+from tillwatch.llm import chat, decontaminate, language, lines, prefix_trie, quality, repeats, secrets, sentencepiece, simhash, token_counts, warc
+from tillwatch.session import materialise
 
 
 #: A merge vocabulary of 32,000 pieces with byte fallback.
@@ -209,3 +210,67 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held))
     found = language.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query(
+    "op11_warc",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+shared AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN shared USING (payload_digest)
+""",
+)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(read(spark, sf_dir, "pages"))
+    records = warc.resolve(materialise(warc.read_archives(archives, payloads=False), "records"))
+    return records.select(
+        F.col("row_key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("original_key").cast("long").alias("refers_to"),
+    )
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH RECURSIVE crc_step(byte, bit, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT byte, bit + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE bit < 8
+), crc AS (SELECT list(c ORDER BY byte) AS tab FROM crc_step WHERE bit = 8),
+own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), taken AS (
+  SELECT conv_id, w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM own, crc
+), convs AS (
+  SELECT a.conv_id, list_concat(coalesce(list_slice(b.w, 1, a.h), []), list_slice(a.w, a.h + 1, len(a.w))) AS w
+  FROM taken a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, md5(list_slice(w, 1, d)::VARCHAR) AS p, len(w) AS n, coalesce(strlen(w[d].t), 0) AS bytes, CASE WHEN d > 0 THEN md5(list_slice(w, 1, d - 1)::VARCHAR) END AS up
+  FROM (SELECT conv_id, w, unnest(range(len(w) + 1)) AS d FROM convs)
+), nodes AS (
+  SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p
+), children AS (SELECT d - 1 AS d, up AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.d, a.p, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM nodes b JOIN prefixes a ON a.conv_id = b.conv_id AND a.d <= b.d LEFT JOIN children c ON c.d = b.d AND c.p = b.p GROUP BY a.d, a.p
+)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM nodes x LEFT JOIN nodes u ON u.d = x.d - 1 AND u.p = x.up LEFT JOIN children c ON c.d = x.d AND c.p = x.p JOIN below s ON s.d = x.d AND s.p = x.p
+""",
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = materialise(prefix_trie.sequences(read(spark, sf_dir, "conversations")), "turns")
+    taken = F.crc32(F.col("conv_id").cast("string")) % 9
+    rebuilt = prefix_trie.with_shared_starts(convs, F.col("conv_id") - F.col("conv_id") % 5, taken)
+    found = prefix_trie.prefix_trie(rebuilt)
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), "ends_sha256")
