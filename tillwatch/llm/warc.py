@@ -35,6 +35,8 @@ SHARED_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: The dictionary, its sample (rows, bytes of each), and the level of compression.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, LEVEL = 64 << 10, 512, 8 << 10, 3
+#: Tasks that read archives; with more archives a task reads several.
+MOST_TASKS = 100_000
 #: Bytes asked of a file at a time.
 READ_BYTES = 1 << 20
 
@@ -336,7 +338,7 @@ class Writer:
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the archives whose paths are in the column ``archive``: the columns of ``RECORD``.
 
-    One archive is read by one task, frame by frame. ``error`` tells what is wrong with a record or an archive
+    Archives are dealt over as many tasks, and read frame by frame; their paths are counted first. ``error`` tells what is wrong with a record or an archive
     (no version line, missing or repeated headers, a length or a digest that does not match, a frame that does not
     decode, an archive that breaks off or cannot be opened) and is null otherwise. ``payload_bytes`` and ``payload_digest`` (hex) are those of the
     payload in the record; a revisit has no payload, its digest is the one it names. Without ``payloads``
@@ -349,7 +351,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column("archive").to_pylist():
                 yield from batched(records_of(path, payloads))
 
-    return archives.where("archive IS NOT NULL").select("archive").repartition(F.xxhash64("archive")).mapInArrow(read, RECORD)
+    paths = archives.where("archive IS NOT NULL").select("archive")
+    return paths.repartition(min(max(paths.count(), 1), MOST_TASKS)).mapInArrow(read, RECORD)
 
 
 def records_of(path: str, payloads: bool) -> Iterator[dict]:
