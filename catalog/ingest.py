@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog import features as f
 from catalog import scoring as s
 from catalog import tables as t
-from catalog.registry import query
+from catalog.registry import ORACLE, query
 from catalog.tables import NOTES, rounded, rounded_sql, with_tables
 from tillwatch.operators import rollup as r
 from tillwatch.operators.machine_profile import machine_profile
@@ -27,6 +27,8 @@ from tillwatch.sources import monthly_extracts as me
 from tillwatch.sources import quarter_files as qf
 from tillwatch.sources import tables as tb
 from tillwatch.streaming import file_stream as fs
+from tillwatch.streaming import live_rules as lr
+from tillwatch.streaming import recent_mean as rm
 from tillwatch.streaming import rollup_stream as rst
 
 # -- monthly extracts ----------------------------------------------------------------------------------------
@@ -596,6 +598,73 @@ def _(spark, sf):
     return rounded(_with_scores(spark.read.parquet(target)))
 
 
+RECENT_SQL = """
+    SELECT cod_cajero, fecha_hora, m AS monto_dispensado, r AS promedio_reciente,
+           coalesce(CASE WHEN r > 0 AND abs((m - r) / r * 100) > 200 THEN 0.2::DOUBLE * least(abs((m - r) / r * 100) / 500, 1.0::DOUBLE) END, 0) AS regla_3
+    FROM (SELECT *, list_avg(list_transform(list_filter(antes, lambda x: x.fecha_hora >= fecha_hora - INTERVAL 24 HOUR), lambda x: x.m)) AS r
+          FROM (SELECT *, list({'fecha_hora': fecha_hora, 'm': m}) OVER (PARTITION BY cod_cajero ORDER BY fecha_hora ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS antes FROM qt))"""
+
+
+def _with_rule_3(totals):
+    """Score of the rule of drastic changes against the recent mean."""
+    recent = F.col("promedio_reciente")
+    rules = ru.business_rules(F.col("monto_dispensado"), F.hour("fecha_hora"), *[F.lit(None).cast("double")] * 5, recent=recent)
+    part = F.aggregate(
+        F.filter(rules["reglas"], lambda x: x["regla"] == "regla_3_cambio_drastico"), F.lit(0.0), lambda a, x: a + x["score_parcial"]
+    )
+    return rounded(totals.select("cod_cajero", "fecha_hora", "monto_dispensado", "promedio_reciente", part.alias("regla_3")))
+
+
+@query("m11_recent_mean", with_tables("qt", rounded_sql(RECENT_SQL, "promedio_reciente regla_3")))
+def _(spark, sf):
+    lines = qf.read_lines(spark, write_quarter_files(spark, sf))
+    return _with_rule_3(ru.with_recent_mean(ru.file_totals(qf.parse_lines(lines))))
+
+
+@query("t03_recent_mean", with_tables("qt", rounded_sql(RECENT_SQL, "promedio_reciente regla_3")))
+def _(spark, sf):
+    folder, totals, target = write_quarter_files(spark, sf), work_dir(spark, "totals"), work_dir(spark, "recent")
+    rm.watch_totals(spark, folder, totals, work_dir(spark, "totals-state"), 5000, once=True).awaitTermination()
+    rm.maintain_recent_means(rm.totals_stream(spark, totals), target, work_dir(spark, "recent-state"), once=True).awaitTermination()
+    return _with_rule_3(spark.read.parquet(target))
+
+
+#: What the streams have told for certain when the last row is in: an hour of lateness, and the reach of the join.
+SETTLED = "fecha_transaccion < (SELECT max(fecha_transaccion) FROM tx) - INTERVAL 4 HOUR"
+
+
+def _settled(spark, sf, hits):
+    target = work_dir(spark, "hits")
+    lr.maintain_live_hits(hits, target, work_dir(spark, "hits-state"), once=True).awaitTermination()
+    last = t.transactions(spark, sf).agg((F.max("fecha_transaccion") - F.expr("INTERVAL 4 HOURS")).alias("ultima"))
+    rows = spark.read.schema(hits.schema).parquet(target)  # the schema: there may be no file
+    return rows.join(F.broadcast(last), F.col("fecha_transaccion") < F.col("ultima")).drop("ultima", "dia")
+
+
+def _hits_sql(rule: str, name: str, value: str) -> str:
+    return f"SELECT '{rule}' AS regla, id_tlf, cod_terminal, fecha_transaccion, {value}::DOUBLE AS valor FROM ({ORACLE[name]}) WHERE {SETTLED}"
+
+
+@query(
+    "x01_x02_x05_live_rates",
+    with_tables(
+        "tx",
+        _hits_sql("cambios_pin", "x01_frequent_pin_changes", "cambios_pin")
+        + " UNION ALL " + _hits_sql("retiro_grande", "x02_large_withdrawals", "monto_periodo")
+        + " UNION ALL " + _hits_sql("velocidad", "x05_high_rate", "transacciones_periodo"),
+    ),
+)
+def _(spark, sf):
+    arriving = t.transactions_of(event_stream(spark, sf))
+    rules = [lr.RateRule("cambios_pin", "cambio", 1, 12 * 3600), lr.RateRule("retiro_grande", "retiro", 2_000_000, 6 * 3600), lr.RateRule("velocidad", "todas", 2, 3 * 3600)]
+    return _settled(spark, sf, lr.live_rates(arriving, "1 hour", rules))
+
+
+@query("x06_live_pin_withdrawals", with_tables("tx", _hits_sql("pin_y_retiro", "x06_withdrawal_after_pin_change", "segundos_desde_pin")))
+def _(spark, sf):
+    return _settled(spark, sf, lr.live_pin_withdrawals(t.transactions_of(event_stream(spark, sf)), "1 hour", 7200))
+
+
 @query("t03_watch_files")
 def _(spark, sf):
     profile, model = s.machine_model(spark, sf)

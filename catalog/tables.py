@@ -40,7 +40,12 @@ def _cases(values: dict, key):
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return transactions_of(load(spark, sf_dir, "events"))
+
+
+def transactions_of(events: DataFrame) -> DataFrame:
+    """Transactions of an events table or stream."""
+    events = events.select("event_id", "ts", "user_id", "event_type", "value")
     event, kind = F.col("event_id"), _cases(TYPES, F.col("event_type"))
     amount = F.round(F.col("value") * 10000, 0)
     return events.select(

@@ -14,7 +14,7 @@ from tillwatch.schemas import DISPENSING_TYPES, PIN_CHANGE, STATE_OK, STATE_REJE
 KEY, TS = "cod_terminal", "fecha_transaccion"
 
 
-def _withdrawal() -> Column:
+def withdrawal() -> Column:
     return F.col("tipo_operacion").isin(DISPENSING_TYPES) & (F.col("cod_estado_transaccion") == STATE_OK)
 
 
@@ -27,7 +27,7 @@ def frequent_pin_changes(transactions: DataFrame, more_than: int = 5, seconds: i
 
 def large_withdrawals(transactions: DataFrame, more_than: float = MAX_WITHDRAWAL, seconds: int = 600) -> DataFrame:
     """Withdrawals whose total over the past ten minutes at the machine passes the limit."""
-    rows = transactions.filter(_withdrawal()).select("id_tlf", KEY, TS, "valor_transaccion")
+    rows = transactions.filter(withdrawal()).select("id_tlf", KEY, TS, "valor_transaccion")
     summed = with_lookback(rows, [KEY], TS, seconds, {"monto_periodo": F.sum("valor_transaccion")})
     return summed.filter(F.col("monto_periodo") > more_than)
 
@@ -41,7 +41,7 @@ def high_rate(transactions: DataFrame, more_than: int = 10, seconds: int = 60) -
 
 def withdrawal_after_pin_change(transactions: DataFrame, seconds: int = 300) -> DataFrame:
     """Withdrawals less than five minutes after a PIN change at the machine."""
-    rows = transactions.filter(_withdrawal() | (F.col("tipo_operacion") == PIN_CHANGE)).select(
+    rows = transactions.filter(withdrawal() | (F.col("tipo_operacion") == PIN_CHANGE)).select(
         "id_tlf", KEY, TS, "tipo_operacion"
     )
     change = F.max(F.when(F.col("tipo_operacion") == PIN_CHANGE, F.col(TS)))

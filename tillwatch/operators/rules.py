@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwatch.functions.text import fixed, grouped
@@ -145,6 +145,19 @@ def file_totals(parsed: DataFrame) -> DataFrame:
     )
 
 
+def with_recent_mean(totals: DataFrame, buckets: int = 4, max_age: int = 24 * 3600) -> DataFrame:
+    """Totals with promedio_reciente: the mean of the machine's last ``buckets`` totals, none older than ``max_age`` seconds.
+
+    A machine has one total a time and at most as many as there are files, so the window holds bounded rows.
+    """
+    before = Window.partitionBy("cod_cajero").orderBy("fecha_hora").rowsBetween(-buckets, -1)
+    rows = totals.withColumn("_antes", F.collect_list(F.struct("fecha_hora", "monto_dispensado")).over(before))
+    age = F.expr(f"fecha_hora - make_interval(0, 0, 0, 0, 0, 0, {max_age})")
+    near = F.transform(F.filter("_antes", lambda t: t["fecha_hora"] >= age), lambda t: t["monto_dispensado"])
+    mean = F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(near), F.lit(0))
+    return rows.withColumn("promedio_reciente", mean).drop("_antes")
+
+
 def with_history(totals: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Totals joined to the machine profile, and the totals of machines without one."""
     if is_small(totals):
@@ -159,13 +172,16 @@ def score_totals(
     raw_model_score: Column,
     min_score: float = LEVELS["Sospechoso"],
     model_range: tuple[float, float] | None = None,
+    recent: Column | None = None,
 ) -> DataFrame:
     """Blend the model's score with the rules, grade it and keep what is anomalous.
 
-    The raw score goes through a sigmoid, or through its training range where ``model_range`` is given.
+    The raw score goes through a sigmoid, or through its training range where ``model_range`` is given. Rule 3 compares with
+    ``recent``, or with the historic mean where that is null or not given.
     """
     model = scaled_model(raw_model_score, *model_range) if model_range else sigmoid_of_model(raw_model_score)
-    rules = business_rules(F.col("monto_dispensado"), F.hour("fecha_hora"))
+    before = None if recent is None else F.coalesce(recent, F.col("dispensacion_promedio"))
+    rules = business_rules(F.col("monto_dispensado"), F.hour("fecha_hora"), recent=before)
     scored = (
         known.withColumn("_rules", rules)
         .withColumn("score_isolation_forest", model)

@@ -36,6 +36,7 @@ from tillwatch.sources.tables import (
 )
 from tillwatch.session import materialise
 from tillwatch.streaming.file_stream import score_machines, watch_files
+from tillwatch.streaming.recent_mean import totals_stream, watch_recent, watch_totals
 
 # Names of the stored tables.
 CONSOLIDATED = "transacciones_consolidadas"
@@ -49,6 +50,7 @@ TRANSACTIONS = "features"
 SCORES = "scores"
 REASONS = "razones_anomalias"
 ALERTS = "alertas_dispensacion"
+TOTALS = "totales_15min"
 
 
 def load_extracts(
@@ -162,13 +164,26 @@ def fit_machine_model(spark: SparkSession, base: str, **options) -> Forest:
     return forest
 
 
-def watch(spark: SparkSession, base: str, folder: str, once: bool = False) -> StreamingQuery:
-    """Score 15-minute files as they arrive with the machine model and features that are stored at that time."""
+def _scored_profile(spark: SparkSession, base: str) -> DataFrame:
+    scored = score_machines(read_table(spark, base, PROFILE), load_forest(spark, f"{base}/modelo_cajeros"))
+    return materialise(scored, "scored-profile")
 
-    def profile() -> DataFrame:
-        scored = score_machines(read_table(spark, base, PROFILE), load_forest(spark, f"{base}/modelo_cajeros"))
-        return materialise(scored, "scored-profile")
 
+def watch(spark: SparkSession, base: str, folder: str, once: bool = False) -> StreamingQuery:
+    """Score 15-minute files as they arrive with the machine model and features that are stored at that time."""
     return watch_files(
-        spark, folder, profile, f"{base}/{ALERTS}_15min", f"{base}/_estado_15min", once=once
+        spark, folder, lambda: _scored_profile(spark, base), f"{base}/{ALERTS}_15min", f"{base}/_estado_15min", once=once
     )
+
+
+def watch_live(spark: SparkSession, base: str, folder: str, once: bool = False) -> list[StreamingQuery]:
+    """As ``watch``, with the live recent mean in rule 3: files to totals, totals to alerts.
+
+    With ``once`` the second query is started when the first has ended.
+    """
+    totals = f"{base}/{TOTALS}"
+    files = watch_totals(spark, folder, totals, f"{base}/_estado_totales", once=once)
+    if once:
+        files.awaitTermination()
+    alerts = watch_recent(totals_stream(spark, totals), lambda: _scored_profile(spark, base), f"{base}/{ALERTS}_15min", f"{base}/_estado_recientes", once=once)
+    return [files, alerts]
