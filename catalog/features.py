@@ -12,10 +12,11 @@ from catalog.tables import NOTES, rounded, rounded_sql, with_tables
 from tillwatch.functions import calendar
 from tillwatch.operators import buckets as b
 from tillwatch.operators import machine_profile as mp
+from tillwatch.operators import partials as pt
 from tillwatch.operators import rollup as r
 from tillwatch.operators import transactions as tx
 from tillwatch.operators.neighbours import with_coordinates, zone_features
-from tillwatch.session import work_dir
+from tillwatch.session import materialise, work_dir
 from tillwatch.sources.tables import read_table, replace_table
 
 AS_OF = datetime(2024, 1, 20)
@@ -368,6 +369,62 @@ def _(spark, sf):
     return rounded(mp.machine_profile(t.rollup(spark, sf), week_rows=WEEK).drop("tendencia_pvalue"))
 
 
+def _updated_states(rows, states, time):
+    """States of all days, the last days added after the others: each day's state is of its own input only."""
+    last = F.lit("2024-01-25").cast("timestamp_ntz")
+    return states(rows.filter(F.col(time) < last)).unionByName(states(rows.filter(F.col(time) >= last)))
+
+
+@query("a05_summary_from_states", with_tables("su", rounded_sql("SELECT * FROM su", SUMMARY_DOUBLES)))
+def _(spark, sf):
+    return rounded(pt.summary_of(_updated_states(t.transactions(spark, sf), pt.transaction_states, "fecha_transaccion")))
+
+
+EXACT_BASIC = "dispensacion_promedio dispensacion_std coef_variacion transacciones_promedio_15min"
+
+
+@query(
+    "a12_profile_from_states",
+    with_tables(
+        "fb ft fr fh mv",
+        rounded_sql(
+            f"SELECT fb.* EXCLUDE (dispensacion_mediana, q25, q75, iqr), ft.* EXCLUDE (cod_cajero), tendencia_slope, tendencia_r2, tendencia_pvalue,"
+            f" max_z_score_historico FROM fb JOIN ft USING (cod_cajero) JOIN fr USING (cod_cajero) JOIN fh USING (cod_cajero) JOIN ({P_VALUE_SQL}) USING (cod_cajero)",
+            f"{EXACT_BASIC} {TIME_DOUBLES} tendencia_slope tendencia_r2 tendencia_pvalue max_z_score_historico",
+        ),
+    ),
+)
+def _(spark, sf):
+    profile = pt.profile_of(_updated_states(t.rollup(spark, sf), pt.rollup_states, "bucket_15min"))
+    return rounded(profile.drop(*pt.ESTIMATES), f"{EXACT_BASIC} {TIME_DOUBLES} tendencia_slope tendencia_r2 tendencia_pvalue max_z_score_historico")
+
+
+RANKS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query(
+    "a08_quantile_sketches",
+    with_tables(
+        "mv",
+        "SELECT cod_terminal, count(*) AS filas, [true, true, true, true, true] AS cerca FROM mv"
+        " WHERE bucket_15min >= TIMESTAMP '2024-01-05' AND bucket_15min < TIMESTAMP '2024-01-26' GROUP BY cod_terminal",
+    ),
+)
+def _(spark, sf):
+    """Whether the true rank of each estimated quantile is within twice the error that sketches of this size promise."""
+    rollup = materialise(t.rollup(spark, sf), "rollup")
+    found = pt.quantiles_of(pt.rollup_states(rollup), RANKS, "2024-01-05", "2024-01-25")
+    rows = rollup.filter(F.to_date("bucket_15min").between("2024-01-05", "2024-01-25")).join(found.drop("sketch"), "cod_terminal")
+    ranked = rows.groupBy("cod_terminal").agg(
+        F.count(F.lit(1)).alias("filas"),
+        *[F.count_if(F.col(mp.AMOUNT) < F.col("valores")[i]).alias(f"_bajo{i}") for i in range(len(RANKS))],
+        *[F.count_if(F.col(mp.AMOUNT) <= F.col("valores")[i]).alias(f"_hasta{i}") for i in range(len(RANKS))],
+    )
+    error = 2 * 1.65 / pt.SKETCH
+    near = [(F.col(f"_bajo{i}") / F.col("filas") - error <= s) & (F.col(f"_hasta{i}") / F.col("filas") + error >= s) for i, s in enumerate(RANKS)]
+    return ranked.select("cod_terminal", "filas", F.array(*near).alias("cerca"))
+
+
 @query(
     "a08_statistics_of_totals",
     with_tables(

@@ -7,7 +7,7 @@ resumed after any step and each large table is computed once.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from tillwatch.operators.behaviour import blended_scores, rule_scores
 from tillwatch.operators.isolation_forest import Forest, fit_bucket_forest, fit_forest, fit_machine_forest, load_forest
 from tillwatch.operators.machine_profile import machine_profile
 from tillwatch.operators.neighbours import zone_features
+from tillwatch.operators.partials import profile_of, rollup_states, summary_of, transaction_states
 from tillwatch.operators.reasons import anomalous_transactions, explain_transactions
 from tillwatch.operators.rollup import bucket_totals, machine_summary, rollup_transactions
 from tillwatch.operators.transactions import transaction_features
@@ -28,10 +29,14 @@ from tillwatch.sources.machines import replace_machines
 from tillwatch.sources.monthly_extracts import ingest_months, read_consolidated
 from tillwatch.sources.tables import (
     SUMMARY_UPDATES,
+    exists,
+    finish_switch,
     merge_rows,
     read_table,
+    remove,
     replace_table,
     stored_table,
+    switch_table,
     upsert_alerts,
 )
 from tillwatch.session import materialise
@@ -46,6 +51,8 @@ ROLLUP = "mv_dispensacion_por_cajero_15min"
 SUMMARY = "features_dispensacion"
 PROFILE = "features_ml"
 BUCKETS = "features_temporales"
+FACT_STATES = "estados_transacciones"
+ROLLUP_STATES = "estados_mv_15min"
 TRANSACTIONS = "features"
 SCORES = "scores"
 REASONS = "razones_anomalias"
@@ -98,23 +105,64 @@ def build_history(spark: SparkSession, base: str) -> None:
     """Fact to roll-up, machine summary and machine features."""
     fact = read_table(spark, base, FACT)
     replace_table(by_day(rollup_transactions(fact), "bucket_15min"), base, ROLLUP, ["dia"])
-    summary = machine_summary(fact).select(
+    _store_summary(spark, base, machine_summary(fact))
+    profile = machine_profile(read_table(spark, base, ROLLUP).drop("dia"))
+    located = zone_features(profile, _machines(spark, base)).withColumn("fecha_calculo", F.current_timestamp())
+    replace_table(located, base, PROFILE)
+
+
+def _store_summary(spark: SparkSession, base: str, summary: DataFrame) -> None:
+    """Merge into the stored summary; known machines keep their weekday means.
+
+    The merged table is written beside the stored one and then takes its place; a run that stopped in between is finished by the next one.
+    """
+    named = summary.select(
         F.col("cod_terminal").cast("string").alias("cod_cajero"),
         "*",
         F.col("fecha_primera_transaccion").alias("fecha_primer_registro"),
         F.col("fecha_ultima_transaccion").alias("fecha_ultimo_registro"),
         F.current_timestamp().alias("fecha_calculo"),
     ).drop("cod_terminal", "fecha_primera_transaccion", "fecha_ultima_transaccion")
+    finish_switch(spark, base, SUMMARY)
     stored = stored_table(spark, f"{base}/{SUMMARY}")
-    if stored is not None:
-        merged = merge_rows(stored, summary, ["cod_cajero"], SUMMARY_UPDATES)
-        summary = materialise(merged, "summary")  # the table read is the table replaced
-    replace_table(summary, base, SUMMARY)
-    profile = machine_profile(read_table(spark, base, ROLLUP).drop("dia"))
+    switch_table(named if stored is None else merge_rows(stored, named, ["cod_cajero"], SUMMARY_UPDATES), base, SUMMARY)
+
+
+def update_history(spark: SparkSession, base: str, days: Sequence[date]) -> None:
+    """Roll-up, machine summary and machine features after new or changed rows of the fact on ``days``.
+
+    Only these days of the fact and of the roll-up are read and written; summary and features are then added up from the
+    stored states of all days (one row per machine and day), which the first run builds. What states only estimate is
+    said in ``partials.profile_of``; ``build_history`` gives all of it exactly.
+    """
+    if not exists(spark, f"{base}/{ROLLUP_STATES}/_SUCCESS"):
+        build_states(spark, base)
+    fact = read_table(spark, base, FACT).filter(F.col("dia").isin(list(days))).drop("dia")
+    _replace_days(by_day(rollup_transactions(fact), "bucket_15min"), base, ROLLUP, days)
+    _replace_days(transaction_states(fact), base, FACT_STATES, days)
+    fresh = read_table(spark, base, ROLLUP).filter(F.col("dia").isin(list(days))).drop("dia")
+    _replace_days(rollup_states(fresh), base, ROLLUP_STATES, days)
+    _store_summary(spark, base, summary_of(read_table(spark, base, FACT_STATES)))
+    profile = profile_of(read_table(spark, base, ROLLUP_STATES))
     located = zone_features(profile, _machines(spark, base)).withColumn("fecha_calculo", F.current_timestamp())
     replace_table(located, base, PROFILE)
 
 
+def build_states(spark: SparkSession, base: str) -> None:
+    """States of every day of the fact and of the roll-up."""
+    replace_table(transaction_states(read_table(spark, base, FACT).drop("dia")), base, FACT_STATES, ["dia"])
+    replace_table(rollup_states(read_table(spark, base, ROLLUP).drop("dia")), base, ROLLUP_STATES, ["dia"])
+
+
+def _replace_days(rows: DataFrame, base: str, name: str, days: Sequence[date]) -> None:
+    """Put the given days of a table in the place of the old ones; a day without rows becomes empty."""
+    rows = materialise(rows, name)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dia").parquet(f"{base}/{name}")
+    kept = {r[0] for r in rows.select("dia").distinct().collect()}  # at most the given days
+    for day in set(days) - kept:
+        remove(rows.sparkSession, f"{base}/{name}/dia={day}")
+
+
 def build_transaction_features(spark: SparkSession, base: str) -> None:
     fact = read_table(spark, base, FACT)
     features = transaction_features(fact, _machines(spark, base), keep=("cod_terminal", "dia"))

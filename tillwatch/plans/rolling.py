@@ -24,7 +24,7 @@ def _moments(y: str, x: str | None, spec: WindowSpec) -> Column:
     return F.struct(*parts)
 
 
-def _merged(a: Column, b: Column, with_x: bool) -> Column:
+def merged(a: Column, b: Column, with_x: bool = False) -> Column:
     """Moments of two sets of rows together."""
     n = a["n"] + b["n"]
     weight = a["n"] * b["n"] / n
@@ -70,7 +70,7 @@ def with_preceding_moments(
             out,
             F.when(F.col("_end").isNull(), F.col("_start"))
             .when(F.col("_row") % rows == 0, F.col("_end"))  # the frame is exactly one block
-            .otherwise(_merged(F.col("_end"), F.col("_start"), x is not None)),
+            .otherwise(merged(F.col("_end"), F.col("_start"), x is not None)),
         )
         .drop("_row", "_block", "_end", "_start")
     )
@@ -82,7 +82,7 @@ def including_current(moments: Column, y: str, x: str | None = None) -> Column:
     own = [F.lit(1).cast("bigint").alias("n"), F.col(y).cast("double").alias("my"), zero.alias("syy")]
     if x is not None:
         own += [F.col(x).cast("double").alias("mx"), zero.alias("sxx"), zero.alias("sxy")]
-    return _merged(moments, F.struct(*own), x is not None)
+    return merged(moments, F.struct(*own), x is not None)
 
 
 def sample_deviation(moments: Column) -> Column:

@@ -49,6 +49,31 @@ def replace_table(df: DataFrame, base: str, name: str, partition_by: Sequence[st
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{base.rstrip('/')}/{name}")
 
 
+def switch_table(df: DataFrame, base: str, name: str) -> None:
+    """Replace a table by rows that may be made from it: written beside it, complete, then renamed into its place."""
+    target = f"{base.rstrip('/')}/{name}"
+    df.write.mode("overwrite").parquet(_pending(target))
+    finish_switch(df.sparkSession, base, name)
+
+
+def finish_switch(spark: SparkSession, base: str, name: str) -> None:
+    """Put a complete table that lies beside ``name`` in its place; an incomplete one is removed.
+
+    The old table goes only when the new one is complete, so at any time one of them is whole.
+    """
+    target = f"{base.rstrip('/')}/{name}"
+    pending = _pending(target)
+    if not exists(spark, pending):
+        return
+    if exists(spark, f"{pending}/_SUCCESS"):
+        remove(spark, target)
+        at = spark._jvm.org.apache.hadoop.fs.Path(pending)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(target)):
+            raise OSError(f"{pending} could not be renamed")
+    else:
+        remove(spark, pending)
+
+
 # What an alert that exists already takes over from a newer one.
 ALERT_UPDATES = ["severidad", "score_anomalia", "desviacion_std", "descripcion", "razones", "fecha_deteccion"]
 ALERT_MERGE_KEY = ALERT_KEY
