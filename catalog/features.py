@@ -777,6 +777,63 @@ def _(spark, sf):
     return rounded(rounded(rows, "volatilidad_reciente", 2), "tendencia_24h")
 
 
+def _since(interval: str, upto: str = "INTERVAL 1 MICROSECOND PRECEDING") -> str:
+    return f"ORDER BY bucket_15min RANGE BETWEEN INTERVAL {interval} PRECEDING AND {upto}"
+
+
+@query(
+    "w03_w04_clock_z",
+    with_tables(
+        "zb",
+        rounded_sql(
+            f"SELECT {KEYS}, {_z('hora_del_dia', _since('10 DAY'))} AS z_score_vs_hora,"
+            f" {_z('dia_semana', _since('10 DAY'))} AS z_score_vs_dia_semana FROM zb",
+            "z_score_vs_hora z_score_vs_dia_semana",
+        ),
+    ),
+)
+def _(spark, sf):
+    rows = b.with_clock_z(b.with_bucket_calendar(r.bucket_totals(t.rollup(spark, sf))), days=10)
+    return rounded(rows.select("bucket_15min", "cod_terminal", "z_score_vs_hora", "z_score_vs_dia_semana"))
+
+
+CLOCK_DAY = f"OVER (PARTITION BY cod_terminal {_since('24 HOUR')})"
+CLOCK_UPTO = f"OVER (PARTITION BY cod_terminal {_since('24 HOUR', 'CURRENT ROW')})"
+
+
+@query(
+    "w06_w07_clock_trend",
+    with_tables(
+        "zs",
+        rounded_sql(
+            f"SELECT {KEYS}, stddev_samp(monto_total_dispensado) {CLOCK_DAY} AS volatilidad_reciente,"
+            f" CASE WHEN count(*) {CLOCK_UPTO} >= 2 THEN regr_slope(monto_total_dispensado, segundos) {CLOCK_UPTO} END AS tendencia_24h FROM zs",
+            "volatilidad_reciente tendencia_24h",
+        ),
+    ),
+)
+def _(spark, sf):
+    rows = b.with_clock_trend(r.bucket_totals(t.rollup(spark, sf)))
+    return rounded(rows.select("bucket_15min", "cod_terminal", "volatilidad_reciente", "tendencia_24h"))
+
+
+@query(
+    "w09_clock_volatility",
+    with_tables(
+        "bk",
+        rounded_sql(
+            "SELECT cod_terminal, arg_max(vol, bucket_15min) AS volatilidad_reciente, avg(vol) AS volatilidad_promedio"
+            f" FROM (SELECT *, stddev_samp(monto_total_dispensado) OVER (PARTITION BY cod_terminal {_since('7 DAY', 'CURRENT ROW')}) AS vol FROM bk)"
+            " GROUP BY cod_terminal",
+            "volatilidad_reciente volatilidad_promedio",
+            3,
+        ),
+    ),
+)
+def _(spark, sf):
+    return rounded(b.clock_volatility(r.bucket_totals(t.rollup(spark, sf))), digits=3)
+
+
 MONTH_RANK = "percent_rank() OVER (PARTITION BY cod_terminal, mes ORDER BY monto_total_dispensado) * 100"
 
 

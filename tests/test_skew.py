@@ -124,3 +124,32 @@ def test_block_moments_equal_plain_frames(spark, hot, rows_back, monkeypatch):
         assert a.id == e.id and (a.s is None) == (e.s is None) and (a.b is None) == (e.b is None)
         assert a.s is None or a.s == pytest.approx(e.s, rel=1e-9, abs=1e-6)
         assert a.b is None or a.b == pytest.approx(e.b, rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("seconds", [1, 60, 3600, 86400 * 400])
+def test_moments_since_equal_plain_ranges(spark, hot, seconds):
+    from tillwatch.plans import rolling
+
+    df = hot.withColumn("y", (F.col("id") * 7919 % 1009 * 1000.0)).withColumn("x", skew.micros("ts") / 1e6 - 1.7e9).withColumn("t", skew.micros("ts"))
+    order = Window.partitionBy("k").orderBy("t")
+    before = order.rangeBetween(-seconds * 1_000_000, -1)
+    plain = df.withColumn("s", F.stddev_samp("y").over(before)).withColumn("n", F.count("y").over(before)).withColumn("b", F.regr_slope("y", "x").over(before))
+    cut = rolling.with_moments_since(df, ["k"], "ts", "y", seconds, "m", "x")
+    assert set(cut.columns) == {*df.columns, "m"}
+    cut = cut.withColumn("s", rolling.sample_deviation(F.col("m"))).withColumn("n", F.coalesce("m.n", F.lit(0))).withColumn("b", rolling.slope(F.col("m")))
+    for a, e in zip(rows(cut, "id", "s", "n", "b"), rows(plain, "id", "s", "n", "b"), strict=True):
+        assert a.id == e.id and a.n == e.n and (a.s is None) == (e.s is None) and (a.b is None) == (e.b is None)
+        assert a.s is None or a.s == pytest.approx(e.s, rel=1e-9, abs=1e-6)
+        assert a.b is None or a.b == pytest.approx(e.b, rel=1e-6, abs=1e-6)
+
+
+def test_moments_since_without_time_and_with_gaps(spark):
+    import datetime as dt
+
+    from tillwatch.plans import rolling
+
+    day = dt.datetime(2024, 1, 1)
+    data = [(1, day, 1.0), (1, day, 3.0), (1, day + dt.timedelta(hours=1), 5.0), (1, day + dt.timedelta(hours=2), None), (1, day + dt.timedelta(days=9), 7.0), (1, None, 9.0), (None, day, 2.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "k int, ts timestamp_ntz, y double, id int")
+    got = {r.id: r.m and (r.m.n, r.m.my) for r in rolling.with_moments_since(df, ["k"], "ts", "y", 3600, "m").collect()}
+    assert got == {0: (0, None), 1: (0, None), 2: (2, 2.0), 3: (1, 5.0), 4: (0, None), 5: None, 6: (0, None)}

@@ -1,6 +1,6 @@
 """Features of each machine and 15-minute bucket.
 
-Frames count existing buckets, not clock time. The windows by machine come
+Frames count existing buckets; ``clock_features`` has them by elapsed time. The windows by machine come
 first; those by machine and hour, weekday or month reuse its partitioning, so
 all of them cost one shuffle. Groups are bounded by 96 buckets per day.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillwatch.functions.calendar import epoch_seconds, is_month_end, is_pay_window, is_weekend, iso_weekday
 from tillwatch.functions.numbers import percent_change, z_score
 from tillwatch.operators.rollup import BASELINE
-from tillwatch.plans.rolling import including_current, sample_deviation, slope, with_preceding_moments
+from tillwatch.plans.rolling import including_current, sample_deviation, slope, with_moments_since, with_preceding_moments
 from tillwatch.plans.skew import lookup_join
 
 AMOUNT = "monto_total_dispensado"
@@ -21,6 +21,7 @@ KEY, BUCKET = "cod_terminal", "bucket_15min"
 DAY_ROWS = 96
 HOUR_ROWS = 28
 WEEKDAY_ROWS = 4
+DAY_SECONDS = 24 * 3600
 
 
 def with_bucket_calendar(buckets: DataFrame) -> DataFrame:
@@ -116,6 +117,41 @@ def with_group_z(
     return buckets.withColumn("z_score_vs_hora", by_hour).withColumn("z_score_vs_dia_semana", by_day)
 
 
+def with_clock_trend(buckets: DataFrame, min_rows: int = 2) -> DataFrame:
+    """``with_trend`` over the past 24 hours by the clock: gaps stay gaps, whatever the number of buckets."""
+    timed = buckets.withColumn("_segundos", epoch_seconds(BUCKET))
+    moments = with_moments_since(timed, [KEY], BUCKET, AMOUNT, DAY_SECONDS, "_previos", "_segundos")
+    together = including_current(F.col("_previos"), AMOUNT, "_segundos")
+    return (
+        moments.withColumn("volatilidad_reciente", sample_deviation(F.col("_previos")))
+        .withColumn("_hasta_aqui", together)
+        .withColumn("tendencia_24h", F.when(F.col("_hasta_aqui.n") >= min_rows, slope(F.col("_hasta_aqui"))))
+        .drop("_segundos", "_previos", "_hasta_aqui")
+    )
+
+
+def with_clock_z(buckets: DataFrame, days: int = 28) -> DataFrame:
+    """Scores against the buckets of the same hour, and of the same weekday, of the past ``days`` days."""
+    for group, name in (("hora_del_dia", "z_score_vs_hora"), ("dia_semana", "z_score_vs_dia_semana")):
+        rows = with_moments_since(buckets, [KEY, group], BUCKET, AMOUNT, days * DAY_SECONDS, "_previos")
+        buckets = rows.withColumn(name, z_score(F.col(AMOUNT), F.col("_previos.my"), sample_deviation(F.col("_previos")))).drop("_previos")
+    return buckets
+
+
+def clock_volatility(buckets: DataFrame, days: int = 7) -> DataFrame:
+    """Per machine the deviation of the past ``days`` days by the clock, this bucket included: the last and the mean."""
+    rows = with_moments_since(buckets, [KEY], BUCKET, AMOUNT, days * DAY_SECONDS, "_previos")
+    rows = rows.withColumn("_vol", sample_deviation(including_current(F.col("_previos"), AMOUNT)))
+    return rows.groupBy(KEY).agg(F.max_by("_vol", BUCKET).alias("volatilidad_reciente"), F.avg("_vol").alias("volatilidad_promedio"))
+
+
+def clock_features(buckets: DataFrame, profile: DataFrame | None = None, days: int = 28, min_rows: int = 2) -> DataFrame:
+    """``bucket_features`` with every frame by elapsed time: 24 hours, and ``days`` days of the same hour or weekday."""
+    rows = with_machine_z(with_bucket_calendar(buckets), profile)
+    rows = with_clock_trend(with_changes(rows, by_clock=True), min_rows)
+    return with_month_percentile(with_clock_z(rows, days))
+
+
 def with_month_percentile(buckets: DataFrame, per_year: bool = False) -> DataFrame:
     """Percent rank (0-100) of the amount inside machine and month of the year."""
     groups = [KEY, "mes"]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tillwatch.plans.skew import micros
+
 #: Up to this many rows a plain sliding frame is cheaper.
 PLAIN_ROWS = 16
 
@@ -76,6 +78,38 @@ def with_preceding_moments(
     )
 
 
+def with_moments_since(
+    df: DataFrame, keys: Sequence[str], time: str, y: str, seconds: int, out: str, x: str | None = None
+) -> DataFrame:
+    """Add the moments of the rows less than or exactly ``seconds`` before each row of its keys, as the struct ``out``.
+
+    Rows of the same time are not before each other; without a time there is nothing before. Time is
+    cut into blocks as long as the frame, by the clock, so a frame is the end of one block and the start of the next: the
+    start is a running sum, and the end, summed from behind, is handed ``seconds`` later to the rows that need it.
+    The cost of a row does not grow with the frame, and a key with many rows is spread over its blocks.
+    """
+    span = seconds * 1_000_000
+    block = Window.partitionBy(*keys, "_block")
+    early = block.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    late = block.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = df.withColumn("_at", micros(time)).withColumn("_block", F.floor(F.col("_at") / span))
+    summed = placed.withColumn("_start", _moments(y, x, early)).withColumn("_end", _moments(y, x, late))
+    both = summed.withColumn("_handed", F.explode(F.array(F.lit(False), F.lit(True)))).where(~F.col("_handed") | F.col("_at").isNotNull())
+    handed = F.col("_handed")
+    moved = both.select(
+        *[c if c in keys else F.when(~handed, F.col(c)).alias(c) for c in df.columns],
+        (F.col("_at") + F.when(handed, span).otherwise(0)).alias("_at"),
+        (F.col("_block") + F.when(handed, 1).otherwise(0)).alias("_block"),
+        "_handed",
+        F.when(~handed, F.col("_start")).alias("_start"),
+        F.when(handed, F.col("_end")).alias("_end"),
+    )
+    from_behind = block.orderBy(F.desc("_at"), F.desc("_handed")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = moved.withColumn("_end", F.last("_end", ignorenulls=True).over(from_behind)).where(~handed)
+    moments = F.when(F.col("_at").isNotNull(), merged(F.col("_end"), F.col("_start"), x is not None))
+    return found.withColumn(out, moments).drop("_at", "_block", "_handed", "_start", "_end")
+
+
 def including_current(moments: Column, y: str, x: str | None = None) -> Column:
     """Moments of the preceding rows together with the current row."""
     zero = F.lit(0.0)
