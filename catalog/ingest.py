@@ -570,6 +570,23 @@ def _register_streams() -> None:
 
 _register_streams()
 
+def _register_chain() -> None:
+    """With an hour of lateness the hours before the last two are closed when the last record is in."""
+    for key, minutes in (("15min", 15), ("30min", 30), ("1hora", 60)):
+        column = rst.POLICIES[key].column
+
+        @query(f"t01_chain_{key}", f"SELECT * FROM ({f._note_sql(minutes, column)}) WHERE {column} < (SELECT time_bucket(INTERVAL '1 hour', max({column})) FROM ({f._note_sql(minutes, column)})) - INTERVAL 2 HOUR")
+        def _(spark, sf, key=key, column=column):
+            targets = {name: work_dir(spark, f"rollup-{name}") for name in rst.POLICIES}
+            records = t.dispensed_of(event_stream(spark, sf)).drop("event_id")
+            rst.maintain_rollups(spark, records, targets, work_dir(spark, "chain-state"), "1 hour", once=True).awaitTermination()
+            last = t.dispensed(spark, sf).agg((F.date_trunc("hour", F.max("fecha_hora")) - F.expr("INTERVAL 2 HOURS")).cast("timestamp_ntz").alias("ultima"))
+            rows = spark.read.parquet(targets[key]).drop("dia")
+            return rounded(rows.join(F.broadcast(last), F.col(column) < F.col("ultima")).drop("ultima"))
+
+
+_register_chain()
+
 DAY = "fecha_hora >= TIMESTAMP '2024-01-10' AND fecha_hora < TIMESTAMP '2024-01-13'"
 
 

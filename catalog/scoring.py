@@ -20,6 +20,7 @@ from tillwatch.operators import transactions as tx
 from tillwatch.operators.neighbours import zone_features
 from tillwatch.plans.reports import reasons_per_type, transaction_reasons
 from tillwatch.plans.skew import first_per_key
+from tillwatch.plans.strata import stratified_sample
 from tillwatch.schemas import BUCKET_MODEL_FEATURES, MACHINE_MODEL_FEATURES
 from tillwatch.session import materialise
 
@@ -304,6 +305,27 @@ def _(spark, sf):
     )
 
 
+@query(
+    "l06_stratified_sample",
+    with_tables(
+        "bk",
+        """
+        SELECT bucket_15min, cod_terminal, monto_total_dispensado, num_transacciones FROM (
+            SELECT *, row_number() OVER (PARTITION BY mes, cod_terminal ORDER BY substr(md5('42|' || CAST(bucket_15min AS VARCHAR) || '|' || cod_terminal), 1, 15)) AS puesto
+            FROM (SELECT *, month(bucket_15min) * 100 + day(bucket_15min) // 10 AS mes FROM bk))
+        JOIN (SELECT mes, cod_terminal, hasta * 1000 // total - (hasta - n) * 1000 // total AS cupo
+              FROM (SELECT *, CAST(sum(n) OVER (ORDER BY mes, cod_terminal) AS BIGINT) AS hasta, CAST(sum(n) OVER () AS BIGINT) AS total
+                    FROM (SELECT month(bucket_15min) * 100 + day(bucket_15min) // 10 AS mes, cod_terminal, count(*) AS n FROM bk GROUP BY ALL)))
+        USING (mes, cod_terminal) WHERE puesto <= cupo""",
+    ),
+)
+def _(spark, sf):
+    """A thousand buckets over periods of ten days and machines; the test data have one month."""
+    rows = r.bucket_totals(t.rollup(spark, sf))
+    rows = rows.withColumn("mes", F.month("bucket_15min") * 100 + F.floor(F.dayofmonth("bucket_15min") / 10))
+    return stratified_sample(rows, ["mes", "cod_terminal"], ["bucket_15min", "cod_terminal"], 1000).drop("mes")
+
+
 @query("l06_training_sample")
 def _(spark, sf):
     rows = r.bucket_totals(t.rollup(spark, sf))

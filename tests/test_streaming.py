@@ -73,6 +73,21 @@ def test_append_writes_closed_buckets_once(spark):
     assert out.select("bucket_15min", "cod_cajero", "cod_admin_efectivo").distinct().count() == out.count()
 
 
+def test_chained_rollups_equal_batch_over_several_triggers(spark):
+    folder, state = work_dir(spark, "in"), work_dir(spark, "state")
+    targets = {name: work_dir(spark, name) for name in rollup_stream.POLICIES}
+    parts = [records(spark, range(0, 95, 4)), records(spark, range(20, 180, 7), 500.0), records(spark, [600, 601]), records(spark, [900])]
+    for part in parts:  # the last two only move the watermark
+        part.coalesce(1).write.mode("append").parquet(folder)
+        run(rollup_stream.maintain_rollups(spark, stream(spark, folder), targets, state, "2 hours", once=True))
+    both = parts[0].unionByName(parts[1])
+    for name, policy in rollup_stream.POLICIES.items():
+        early = spark.read.parquet(targets[name]).drop("dia").filter(F.col(policy.column) < F.lit(START + dt.timedelta(hours=5)).cast("timestamp_ntz"))
+        assert table(early, policy.column) == table(rollup_notes(both, policy.width, policy.column), policy.column)
+    plan = rollup_stream.chained_rollups(stream(spark, folder))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("StreamingRelation") == 1
+
+
 PROFILE = (
     "cod_cajero string, dispensacion_promedio double, dispensacion_std double, disp_madrugada double,"
     " ratio_vs_zona double, pct_anomalias_3std double, score_modelo double"

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions.numbers import finite
 from tillwatch.plans.quantiles import exact_quantiles
+from tillwatch.plans.strata import stratified_sample
 from tillwatch.session import materialise
 
 MAX_SAMPLE = 256
@@ -307,10 +308,17 @@ def fit_forest(
     sample: int = 2_000_000,
     time: str = "bucket_15min",
     machine: str = "cod_terminal",
+    strata: Sequence[str] = (),
 ) -> Forest:
-    """Fit on about ``sample`` rows (0 = all). The threshold is the ``contamination`` quantile of their scores."""
+    """Fit on about ``sample`` rows (0 = all). The threshold is the ``contamination`` quantile of their scores.
+
+    With ``strata``, such as month and machine, the sample has exactly ``sample`` rows, dealt over them in proportion.
+    """
     features, keys = list(features), list(keys)
-    chosen = sample_rows(df, sample, keys, seed) if sample else df
+    if sample and strata:
+        chosen = stratified_sample(df, strata, keys, sample, seed)
+    else:
+        chosen = sample_rows(df, sample, keys, seed) if sample else df
     extra = [c for c in (time, machine) if c not in keys and c not in features]
     # Spread by key: the sample is small in bytes but costly to score.
     spread = chosen.select(*keys, *extra, *features).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
