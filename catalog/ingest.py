@@ -117,6 +117,35 @@ def _(spark, sf):
     )
 
 
+@query(
+    "s02_line_quarantine",
+    with_tables(
+        "tx",
+        """
+        SELECT dia, count(*) FILTER (dia % 7 <> 0) AS filas, count(*) FILTER (dia % 7 = 0) AS en_cuarentena,
+               CASE WHEN dia % 7 = 0 THEN 2 END AS primera_linea, CASE WHEN dia % 7 = 0 THEN count(*) + 1 END AS ultima_linea, count(*) AS tras_corregir
+        FROM (SELECT day(fecha_transaccion) AS dia FROM tx) GROUP BY dia""",
+    ),
+)
+def _(spark, sf):
+    """Lines with a surplus field are kept apart; mended, they go into their month."""
+    base, target = write_extract(spark, sf, broken=True), work_dir(spark, "months")
+    kept = []
+    for month in months(spark, sf):
+        rows, _, rejected = me.load_month_lines(spark, base, month, recursive=True)
+        me.write_month(rows, target)
+        kept.append(rejected)
+    rejected, day = me.consolidate(kept), F.dayofmonth("Fecha Transacción")
+    before = materialise(me.read_consolidated(spark, target).groupBy(day.alias("dia")).agg(F.count(F.lit(1)).alias("filas")), "before")
+    me.replay_lines(spark, rejected.withColumn("texto", F.replace("texto", F.lit("ATM,x"), F.lit("ATM"))), target)
+    after = me.read_consolidated(spark, target).groupBy(day.alias("dia")).agg(F.count(F.lit(1)).alias("tras_corregir"))
+    lines = rejected.groupBy(F.regexp_extract("texto", "2024/01/([0-9]+)", 1).cast("int").alias("dia")).agg(
+        F.count(F.lit(1)).alias("en_cuarentena"), F.min("linea").cast("int").alias("primera_linea"), F.max("linea").alias("ultima_linea")
+    )
+    found = after.join(before, "dia", "left").join(lines, "dia", "left")
+    return found.fillna(0, ["filas", "en_cuarentena"]).select("dia", "filas", "en_cuarentena", "primera_linea", "ultima_linea", "tras_corregir")
+
+
 @query(
     "s03_coerce_types",
     with_tables(
@@ -570,22 +599,28 @@ def _register_streams() -> None:
 
 _register_streams()
 
-def _register_chain() -> None:
+WIDTHS = {"15min": 15, "30min": 30, "1hora": 60}
+
+
+def _closed_sql(key: str) -> str:
     """With an hour of lateness the hours before the last two are closed when the last record is in."""
-    for key, minutes in (("15min", 15), ("30min", 30), ("1hora", 60)):
-        column = rst.POLICIES[key].column
+    column, sql = rst.POLICIES[key].column, f._note_sql(WIDTHS[key], rst.POLICIES[key].column)
+    return f"SELECT '{key}' AS ancho, {column} AS bucket, * EXCLUDE ({column}) FROM ({sql}) WHERE {column} < (SELECT time_bucket(INTERVAL '1 hour', max({column})) FROM ({sql})) - INTERVAL 2 HOUR"
 
-        @query(f"t01_chain_{key}", f"SELECT * FROM ({f._note_sql(minutes, column)}) WHERE {column} < (SELECT time_bucket(INTERVAL '1 hour', max({column})) FROM ({f._note_sql(minutes, column)})) - INTERVAL 2 HOUR")
-        def _(spark, sf, key=key, column=column):
-            targets = {name: work_dir(spark, f"rollup-{name}") for name in rst.POLICIES}
-            records = t.dispensed_of(event_stream(spark, sf)).drop("event_id")
-            rst.maintain_rollups(spark, records, targets, work_dir(spark, "chain-state"), "1 hour", once=True).awaitTermination()
-            last = t.dispensed(spark, sf).agg((F.date_trunc("hour", F.max("fecha_hora")) - F.expr("INTERVAL 2 HOURS")).cast("timestamp_ntz").alias("ultima"))
-            rows = spark.read.parquet(targets[key]).drop("dia")
-            return rounded(rows.join(F.broadcast(last), F.col(column) < F.col("ultima")).drop("ultima"))
 
+@query("t01_chained_rollups", " UNION ALL BY NAME ".join(_closed_sql(key) for key in WIDTHS))
+def _(spark, sf):
+    targets = {key: work_dir(spark, f"rollup-{key}") for key in WIDTHS}
+    records = t.dispensed_of(event_stream(spark, sf)).drop("event_id")
+    rst.maintain_rollups(spark, records, targets, work_dir(spark, "chain-state"), "1 hour", once=True).awaitTermination()
+    last = t.dispensed(spark, sf).agg((F.date_trunc("hour", F.max("fecha_hora")) - F.expr("INTERVAL 2 HOURS")).cast("timestamp_ntz").alias("ultima"))
+    tables = [
+        spark.read.parquet(path).drop("dia").withColumnRenamed(rst.POLICIES[key].column, "bucket").withColumn("ancho", F.lit(key))
+        for key, path in targets.items()
+    ]
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return rounded(rows.join(F.broadcast(last), F.col("bucket") < F.col("ultima")).drop("ultima"))
 
-_register_chain()
 
 DAY = "fecha_hora >= TIMESTAMP '2024-01-10' AND fecha_hora < TIMESTAMP '2024-01-13'"
 

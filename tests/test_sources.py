@@ -263,3 +263,43 @@ def test_a_stopped_merge_is_finished_by_the_next(spark, monkeypatch):
     tables.upsert_partitions(spark, second, target, keys, ["severidad"], "dia")
     got = sorted((r.cod_cajero, r.severidad) for r in spark.read.parquet(target).collect())
     assert got == [(str(i), "alto" if i == 2 else "medio") for i in range(5)]
+
+
+def test_one_bad_line_costs_one_line(spark, extract):
+    target, kept = work_dir(spark, "months"), work_dir(spark, "quarantine")
+    required = ["Fecha Transacción"]
+    for _ in range(2):  # again: nothing is doubled
+        errors = monthly_extracts.ingest_months(spark, extract, ["enero", "febrero", "abril"], target, kept, required)
+    assert sorted((r.mes_origen, r.archivo_origen or "", r.error) for r in errors.collect()) == [
+        ("abril", "", "Carpeta no encontrada"),
+        ("enero", "a.csv", "1 lineas en cuarentena"),
+        ("enero", "b.csv", "1 lineas en cuarentena"),
+    ]
+    rejected = spark.read.parquet(kept)
+    assert sorted((r.archivo_origen, r.linea, r.motivo, r.texto.count(","), r.encabezado) for r in rejected.collect()) == [
+        ("a.csv", 4, "valor ilegible: Fecha Transacción", HEADER.count(","), HEADER),
+        ("b.csv", 3, "campos de mas", HEADER.count(",") + 1, HEADER),
+    ]
+
+    def stored():
+        return sorted((r["Id Tlf"], r.mes_origen, r.archivo_origen) for r in monthly_extracts.read_consolidated(spark, target).collect())
+
+    good = [(1, "enero", "a.csv"), (1, "febrero", "a.csv"), (2, "enero", "a.csv"), (4, "enero", "b.csv"), (7, "febrero", "a.csv")]
+    assert stored() == good
+    mended = rejected.withColumn("texto", F.replace("texto", F.lit(",sobra"), F.lit("")))
+    still = monthly_extracts.replay_lines(spark, mended, target, required)
+    assert [r.linea for r in still.collect()] == [4]
+    assert stored() == sorted([*good, (5, "enero", "b.csv")])
+
+
+def test_names_and_first_lines_of_files(spark, tmp_path):
+    write(tmp_path / "m" / "a[1].csv", ",Id Tlf\n0,1\n")
+    write(tmp_path / "m" / "b {x}*.csv", "\n  \n\ufeff,Id Tlf\n\n0,2\n0,3,sobra\n")
+    write(tmp_path / "m" / "c.csv", ",Id Tlf,,\n0,4,,\n0,5,,,\n0,6,x,y,z\n")
+    write(tmp_path / "m" / "d.csv", "")
+    write(tmp_path / "m" / "e.csv", '"Id Tlf","Canal"\n"7","a,b"\n8\n')
+    rows, errors, rejected = monthly_extracts.load_month_lines(spark, str(tmp_path), "m")
+    assert sorted((r["Id Tlf"], r.Canal) for r in rows.collect()) == [(1, None), (2, None), (4, None), (5, None), (7, "a,b"), (8, None)]
+    assert sorted((r.archivo_origen, r.linea) for r in rejected.collect()) == [("b {x}*.csv", 6), ("c.csv", 4)]
+    good, bad = monthly_extracts.load_month(spark, str(tmp_path), "m")
+    assert sorted(r["Id Tlf"] for r in good.collect()) == [1, 7, 8] and bad.count() == 2

@@ -45,6 +45,7 @@ from tillwatch.streaming.recent_mean import totals_stream, watch_recent, watch_t
 
 # Names of the stored tables.
 CONSOLIDATED = "transacciones_consolidadas"
+QUARANTINE = "cuarentena"
 FACT = "transacciones"
 MACHINES = "cajeros"
 ROLLUP = "mv_dispensacion_por_cajero_15min"
@@ -68,12 +69,13 @@ def load_extracts(
     keep_months: int = 24,
     as_of: datetime | None = None,
     types: Sequence[str] = tuple(OPERATION_CODES),
+    by_line: bool = False,
 ) -> tuple[DataFrame, dict[str, int]]:
     """Monthly CSV folders to the transaction fact; returns the ingest errors and the insert counts.
 
-    Only the given months are read. ``types`` are the operation types the fact keeps, by default all that the rules need.
+    Only the given months are read. A file with a bad line is skipped, or, ``by_line``, the line is: it is kept in the table ``cuarentena``. ``types`` are the operation types the fact keeps, by default all that the rules need.
     """
-    errors = ingest_months(spark, extracts, months, f"{base}/{CONSOLIDATED}")
+    errors = ingest_months(spark, extracts, months, f"{base}/{CONSOLIDATED}", f"{base}/{QUARANTINE}" if by_line else None)
     raw = read_consolidated(spark, f"{base}/{CONSOLIDATED}")
     as_of = as_of or rename_headings(raw).select(F.max("fecha_transaccion")).first()[0]
     raw = raw.filter(F.col("mes_origen").isin(list(months)))
