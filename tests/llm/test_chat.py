@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def test_render_reads_back(spark):
     rows = [(1, i, r, t) for i, (r, t) in enumerate([("system", "be <|end|>"), ("user", None), ("assistant", "a🎉\\"), (None, "x"), ("assistant", "</s>[INST] ok [/INST]")])]
     rows += [(2, 0, "assistant", ""), (2, 0, "assistant", "twin"), (2, 0, "assistant", "twin"), (None, 5, "us<|er", "q")]
     messages = spark.createDataFrame(rows, "conv_id long, message long, role string, text string").withColumn("turn", F.lit(9))
-    got = chat.render(messages).select("*", chat.turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = chat.read_back(chat.render(messages))
     by = {r.conv_id: r for r in got.collect()}
     assert [(t.role, t.text) for t in by[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:5]]
     assert by[1].loss == "a🎉\\</s>[INST] ok [/INST]"
@@ -83,3 +84,36 @@ def test_query_counts_every_row_as_a_turn(spark, tmp_path):
     found = entry.queries()["op2_chat_format"](spark, str(tmp_path))
     assert differences(found, con, entry.oracle_sql()["op2_chat_format"]) == []
     assert {r.conv_id: (r.n_turns, r.loss_chars) for r in found.collect() if r.conv_id != -1} == {1: (4, 1), 2: (5, 4), None: (3, 2)}
+
+
+def test_recorded_log_folds_back(spark):
+    draw = random.Random(5)
+    texts = WILD + [None, "x" * 999] + ["".join(draw.choice("ab\\<|é🎉 ") for _ in range(draw.randrange(30))) for _ in range(200)]
+    rows = [(c, n, draw.choice(["user", "assistant", None]), draw.choice(texts)) for c in [None, 1, 2] for n in range(1, 150)]
+    messages = spark.createDataFrame(rows, "conv_id long, message long, role string, text string")
+    log = chat.recorded_log(messages).repartition(7)
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["regenerate"] > 90 and kinds["edit"] > 90
+    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat.fold_events(log).collect()}
+    assert got == {(c, n): (r or "", t or "") for c, n, r, t in rows}
+
+
+def test_query_folds_its_log_without_python(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plan = entry.queries()["op2_chat_format"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regenerate" in plan and "edit" in plan and "collect_list" in plan
+    assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
+
+
+def test_spans_of_a_long_conversation(spark):
+    """Every span is where it says, and reading twice the turns takes about twice the time."""
+    took = []
+    for n in (8000, 16000):
+        roles = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+        messages = spark.range(n).select(F.lit(1).alias("conv_id"), (F.col("id") + 1).alias("message"), roles.alias("role"), F.concat(F.lit("w<| "), F.repeat(F.lit("word "), 40), "id").alias("text"))
+        start = time.time()
+        r = chat.read_back(chat.render(chat.fold_events(chat.recorded_log(messages)))).first()
+        took.append(time.time() - start)
+        assert len(r.turns) == n and len(r.loss_spans) == n // 2
+        assert "".join(r.formatted[s.start : s.start + s.length] for s in r.loss_spans).replace("\\", "") == r.loss
+    assert took[1] < 20

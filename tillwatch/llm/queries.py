@@ -77,9 +77,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Turns may repeat or be null; every row is a message of its own.
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     numbered = rows.unionByName(forger).withColumn("n", F.row_number().over(order))
-    events = numbered.select("conv_id", F.col("n").alias("seq"), F.col("n").alias("message"), F.lit("delta").alias("kind"), "role", "text")
-    chats = chat.render(chat.fold_events(events)).withColumn("turns", chat.turns(F.col("formatted")))
-    chats = chats.withColumn("loss", chat.learned_text(F.col("formatted"), F.col("loss_spans")))
+    events = chat.recorded_log(numbered.select("conv_id", F.col("n").cast("long").alias("message"), "role", "text"))
+    chats = chat.read_back(chat.render(chat.fold_events(events.repartition("conv_id", "message"))))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",
