@@ -327,6 +327,17 @@ def _(spark, sf):
     )
 
 
+@query("s10_insert_by_index", ORACLE["s10_insert_if_absent"])
+def _(spark, sf):
+    target = work_dir(spark, "fact")
+    tx = t.transactions(spark, sf)
+    half = F.lit("2024-01-16").cast("timestamp_ntz")
+    fl.insert_if_absent(spark, tx.filter(F.col("fecha_transaccion") < half), target, by_index=True)
+    counts = fl.insert_if_absent(spark, tx.withColumn("valor_transaccion", F.col("valor_transaccion") + 1), target, by_index=True)
+    numbers = [F.lit(v).cast("bigint").alias(k) for k, v in counts.items()]
+    return spark.read.parquet(target).select("id_tlf", "fecha_transaccion", "valor_transaccion", *numbers)
+
+
 @query(
     "s12_read_table",
     with_tables("mv", "SELECT cod_terminal, bucket_15min, num_transacciones FROM mv WHERE num_transacciones > 1"),

@@ -70,17 +70,19 @@ def load_extracts(
     as_of: datetime | None = None,
     types: Sequence[str] = tuple(OPERATION_CODES),
     by_line: bool = False,
+    by_index: bool = False,
 ) -> tuple[DataFrame, dict[str, int]]:
     """Monthly CSV folders to the transaction fact; returns the ingest errors and the insert counts.
 
     Only the given months are read. A file with a bad line is skipped, or, ``by_line``, the line is: it is kept in the table ``cuarentena``. ``types`` are the operation types the fact keeps, by default all that the rules need.
+    ``by_index`` inserts through bitmaps of the stored keys (``insert_if_absent``).
     """
     errors = ingest_months(spark, extracts, months, f"{base}/{CONSOLIDATED}", f"{base}/{QUARANTINE}" if by_line else None)
     raw = read_consolidated(spark, f"{base}/{CONSOLIDATED}")
     as_of = as_of or rename_headings(raw).select(F.max("fecha_transaccion")).first()[0]
     raw = raw.filter(F.col("mes_origen").isin(list(months)))
     fact = prepare_fact(raw, keep_months, types, as_of)
-    return errors, insert_if_absent(spark, fact, f"{base}/{FACT}", unique=True, times=rename_headings(raw))
+    return errors, insert_if_absent(spark, fact, f"{base}/{FACT}", unique=True, times=rename_headings(raw), by_index=by_index)
 
 
 def load_machines(spark: SparkSession, path: str, base: str) -> DataFrame:

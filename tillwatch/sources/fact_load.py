@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tillwatch.functions.calendar import bucket
 from tillwatch.operators.rollup import as_of_or_latest
 from tillwatch.schemas import DISPENSING_TYPES, LINEAGE, TRANSACTION_HEADINGS
+from tillwatch.sources.key_index import absent_by_index
 from tillwatch.sources.tables import stored_table
 
 FACT_KEY = ["id_tlf", "fecha_transaccion"]
@@ -76,13 +77,15 @@ def absent_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str] = tuple
 
 
 def insert_if_absent(
-    spark: SparkSession, new: DataFrame, target: str, unique: bool = False, times: DataFrame | None = None
+    spark: SparkSession, new: DataFrame, target: str, unique: bool = False, times: DataFrame | None = None, by_index: bool = False
 ) -> dict[str, int]:
     """Append the absent rows to the fact at ``target``, partitioned by day; counts what was inserted and skipped.
 
     ``unique`` says that ``new`` has one row per key already. ``times`` is a cheap table whose column
     fecha_transaccion spans that of ``new`` (by default ``new`` itself): only days in between are compared. The rows
-    are written once; partitions are sized by their bytes, so a day has as many files as it needs.
+    are written once; partitions are sized by their bytes, so a day has as many files as it needs. ``by_index`` keeps
+    bitmaps of the stored keys beside the table and compares only the rows that they cannot rule out: for a load that
+    is small against the days it meets.
     """
     unique_rows = (new if unique else drop_duplicates(new)).withColumn("dia", F.to_date("fecha_transaccion"))
     offered = Observation()
@@ -91,6 +94,9 @@ def insert_if_absent(
     before = 0
     if stored is not None:
         before = stored.count()  # from the footers
+    if stored is not None and by_index:
+        rows = absent_by_index(spark, rows, target, FACT_KEY)
+    elif stored is not None:
         low, high = (new if times is None else times).agg(F.min("fecha_transaccion"), F.max("fecha_transaccion")).first()
         existing = stored.filter(F.col("dia").between(F.lit(low).cast("date"), F.lit(high).cast("date")))
         rows = absent_rows(rows, existing)
