@@ -27,6 +27,7 @@ from tillwatch.sources import monthly_extracts as me
 from tillwatch.sources import quarter_files as qf
 from tillwatch.sources import tables as tb
 from tillwatch.streaming import file_stream as fs
+from tillwatch.streaming import late_rows as lt
 from tillwatch.streaming import live_rules as lr
 from tillwatch.streaming import recent_mean as rm
 from tillwatch.streaming import rollup_stream as rst
@@ -649,6 +650,29 @@ def _(spark, sf):
     return rounded(spark.read.parquet(target).drop("dia"))
 
 
+LATE_SQL = f"""
+    SELECT r.*, coalesce(tardias, 0) AS tardias FROM ({f._note_sql(15, "bucket_15min")}) r LEFT JOIN (
+        SELECT time_bucket(INTERVAL '15 minutes', fecha_hora) AS bucket_15min, cod_cajero, cod_admin_efectivo, count(*) AS tardias
+        FROM de, (SELECT max(fecha_hora) - INTERVAL 1 HOUR AS marca FROM de WHERE event_id % 10 <> 0 AND fecha_hora < TIMESTAMP '2024-01-20')
+        WHERE (event_id % 10 = 0 OR fecha_hora >= TIMESTAMP '2024-01-20') AND time_bucket(INTERVAL '15 minutes', fecha_hora) + INTERVAL 15 MINUTE <= marca
+        GROUP BY ALL) USING (bucket_15min, cod_cajero, cod_admin_efectivo)"""
+
+
+@query("t02_late_rows", with_tables("de", LATE_SQL))
+def _(spark, sf):
+    folder, target, late, state = (work_dir(spark, n) for n in ("arriving", "rollup", "late", "late-state"))
+    records, policy = t.dispensed(spark, sf), rst.POLICIES["15min"]
+    second = (F.col("event_id") % 10 == 0) | (F.col("fecha_hora") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    for part in (~second, second):  # the query is stopped in between and goes on from its checkpoint
+        records.filter(part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(records.schema).parquet(folder)
+        lt.maintain_with_late_rows(spark, stream, policy, target, late, state, once=True).awaitTermination()
+    lt.refresh_late(spark, records, policy, target, late, state)
+    keys = ["bucket_15min", "cod_cajero", "cod_admin_efectivo"]
+    counts = spark.read.parquet(late).groupBy(bucket("fecha_hora").alias("bucket_15min"), *keys[1:]).agg(F.count(F.lit(1)).alias("tardias"))
+    return rounded(lt.read_rollup(spark, target).join(counts, keys, "left").fillna(0, "tardias"))
+
+
 @query(
     "t03_stream_detection",
     with_tables("qa", rounded_sql(f"SELECT * FROM ({ALERT_SQL}) WHERE score_anomalia >= 0.5", ALERT_DOUBLES)),

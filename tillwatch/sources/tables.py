@@ -134,8 +134,13 @@ def upsert_partitions(
         met = [r[0] for r in incoming.select(partition).distinct().collect()]  # days of one load
         current = stored.filter(F.col(partition).isin(met)).select(*incoming.columns)
         incoming = merge_rows(current, incoming, [*keys, partition], updates)
-    incoming.write.mode("overwrite").partitionBy(partition).parquet(_pending(target))
-    finish_merge(spark, target, partition)
+    write_merge(incoming, target, partition)
+
+
+def write_merge(merged: DataFrame, target: str, partition: str) -> None:
+    """Put whole partitions in the place of those of the table, written beside it first."""
+    merged.write.mode("overwrite").partitionBy(partition).parquet(_pending(target))
+    finish_merge(merged.sparkSession, target, partition)
 
 
 def _pending(target: str) -> str:
