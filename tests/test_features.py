@@ -1,6 +1,8 @@
 """Machine, bucket and transaction features with default frames, against pandas on dense rows."""
 
 import datetime as dt
+import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -198,6 +200,39 @@ def test_sequence_rules(spark):
     assert [r.monto_periodo for r in behaviour.large_withdrawals(df).collect()] == [2.1e6]
 
 
+def test_rule_scores_equal_the_single_rules(spark):
+    draw = random.Random(4)
+    kinds = ["Retiro", "Avance", "Cambio De Pin", "Depositos", None]
+    rows = [(draw.randrange(9000) * 2, draw.choice([1, 1, 1, 2, None]), draw.choice(kinds), draw.choice([1, 2, 2, 2, None]), draw.choice([None, 1e5, 9e5])) for _ in range(700)]
+    df = tx(spark, rows)
+    df = df.unionByName(df.filter("id_tlf < 3").withColumn("id_tlf", F.col("id_tlf") + 9000).withColumn("fecha_transaccion", F.lit(None).cast("timestamp_ntz")))
+    machines = spark.createDataFrame([("1", "10:30", "18:00")], "codigo string, hora_apertura_atm string, hora_cierre_atm string")
+    limits = {"cambios_pin": {"more_than": 2}, "velocidad": {"more_than": 4}, "rechazos": {"at_least": 3}, "pin_y_retiro": {"seconds": 400}}
+    single = {
+        "cambios_pin": behaviour.frequent_pin_changes(df, 2),
+        "retiro_grande": behaviour.large_withdrawals(df),
+        "velocidad": behaviour.high_rate(df, 4),
+        "pin_y_retiro": behaviour.withdrawal_after_pin_change(df, 400),
+        "fuera_de_horario": behaviour.outside_hours(df, machines),
+    }
+    want = {r.id_tlf: set() for r in df.collect()}
+    for name, found in single.items():
+        hits = [r.id_tlf for r in found.collect()]
+        assert hits
+        for i in hits:
+            want[i].add(name)
+    runs = behaviour.rejection_runs(df, 3).collect()
+    for r in df.filter("cod_estado_transaccion = 2").collect():
+        if r.fecha_transaccion and any(r.cod_terminal is not None and r.cod_terminal == q.cod_terminal and q.desde <= r.fecha_transaccion <= q.hasta for q in runs):
+            want[r.id_tlf].add("rechazos")
+    assert runs
+    got = {r.id_transaccion: r for r in behaviour.rule_scores(df, machines, **limits).collect()}
+    assert {i: r.reglas for i, r in got.items()} == {i: sorted(names) for i, names in want.items()}
+    assert all(r.score_reglas == max([behaviour.RULE_SCORES[n] for n in r.reglas], default=0.0) for r in got.values())
+    plan = behaviour.rule_scores(df, machines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fecha_transaccion#" in plan and not re.search(r"Join .*<=|Join .*>=", plan)
+
+
 def test_one_exchange_for_all_bucket_windows(spark, dense):
     df = spark.createDataFrame(dense, ROLLUP)
     plan = bucket_features(rollup.bucket_totals(df, with_baseline=True))._jdf.queryExecution().executedPlan().toString()
