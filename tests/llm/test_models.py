@@ -85,6 +85,25 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in language.predict(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_more_values_of_lang_than_are_learned(spark):
+    rows = [(i, f"{'zork blim flum' if i % 2 else 'ärü öpö äpä'} {i}", "ab"[i % 2]) for i in range(300)] + [(1000 + i, f"some text {i}", f"dirty{i:04}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, most=5)
+    assert model.languages[:2] == ["a", "b"] and set(model.languages[2:]) <= {"dirty0000", "dirty0001", "dirty0002"}
+    got = language.predict(docs.where("doc_id < 1000"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+    assert {r.lang_pred for r in language.predict(docs, language.fit(docs)).collect()} <= {r[2] for r in rows}
+
+
+def test_language_model_does_not_depend_on_partitions_or_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    many = docs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(6)))).drop("n")
+    found = []
+    for parts in (3, 7):
+        found.append({r.doc_id: (r.lang_pred, round(r.score, 4)) for r in language.predict(docs, language.fit(many.repartition(parts), 300)).collect()})
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 30])
 def test_codewords_are_apart(n):
     code = language.codewords(n)

@@ -16,7 +16,7 @@ from tillwatch.llm.linear import char_grams, collect_vectors, fit_logistic, shar
 
 #: About so many documents are learned from, equally many of each language as far as there are.
 SAMPLE = 2400
-#: More distinct values of lang than this are not languages.
+#: So many values of lang are learned, those with the most documents.
 MOST_LANGUAGES = 400
 #: Slots for each length of n-grams.
 SLOT_BITS, LENGTHS = 11, (1, 2, 3, 4)
@@ -72,28 +72,27 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from documents with id, text and lang. About ``sample`` are chosen by a hash of the id.
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> Model:
+    """Learn from documents with id, text and lang. About ``sample`` are chosen by a hash of id and text.
 
     Each bit of the code is one logistic regression. A quarter of the sample is kept back to see how
-    far each bit can be trusted.
+    far each bit can be trusted. Of more than ``most`` values of lang those with the most documents are learned (ties: the
+    first by name), and texts of others get the nearest of these; a value of which nothing was chosen is not learned
+    either. Copies of a row count once in the sample, so it is the same however the rows are dealt.
     """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    languages = sorted(r.lang for r in totals)
-    code = codewords(len(languages))
-    nothing = Model(languages, code, np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape[1]))
-    if len(languages) < 2:
-        return nothing
-    each = max(sample // len(languages), 1)
-    # Ids are taken by hash, so a language gives `each` documents on average; twice the sample bounds them all.
-    part = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30))
+    totals = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    each = max(sample // max(len(totals), 1), 1)
+    part = F.xxhash64("doc_id", "text", F.lit("lang"))
     few = spark_rows(docs, [(r.lang, int(min(each / r.n, 1) * (1 << 30))) for r in totals], "lang string, below long")
-    chosen = rows.join(F.broadcast(few), "lang").where(part < F.col("below")).drop("below").limit(2 * sample + len(languages))
+    drawn = rows.withColumn("part", part).join(F.broadcast(few), "lang").where(F.pmod("part", F.lit(1 << 30)) < F.col("below"))
+    chosen = drawn.groupBy("doc_id", "lang", "part").agg(F.first("text").alias("text")).select("doc_id", "lang", "text")
     x, names = collect_vectors(chosen, "lang", vectors, SIZE)
-    number = np.array([languages.index(n) for n in names], np.int64)
+    languages = sorted(set(names))
+    code = codewords(len(languages))
+    nothing = Model(languages, code, np.zeros((SIZE, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.ones(code.shape[1]))
+    place = {name: i for i, name in enumerate(languages)}
+    number = np.array([place[n] for n in names], np.int64)
     if len(set(number.tolist())) < 2:
         return nothing
     y = (code[number] > 0).astype(np.float32)
