@@ -303,3 +303,27 @@ def test_names_and_first_lines_of_files(spark, tmp_path):
     assert sorted((r.archivo_origen, r.linea) for r in rejected.collect()) == [("b {x}*.csv", 6), ("c.csv", 4)]
     good, bad = monthly_extracts.load_month(spark, str(tmp_path), "m")
     assert sorted(r["Id Tlf"] for r in good.collect()) == [1, 7, 8] and bad.count() == 2
+
+
+def test_lines_with_and_without_quotes_have_the_same_fields(spark, tmp_path):
+    lines = ['7,a,,b', '"7","a","","b"', '"7",a,"",b,', '7,"a,b",,""', '7', '7, a ,\\,"b""', ',,,', '7,a,,b,x', '7,a,,b,"x"']
+    write(tmp_path / "m" / "a.csv", "Id Tlf,Canal,,Adquiriente\n" + "\n".join(lines) + "\n")
+    write(tmp_path / "m" / "b.csv", 'Adquiriente,"Canal","Id Tlf"\nb,a,7\n"b","a","7"\n')
+    rows, _, rejected = monthly_extracts.load_month_lines(spark, str(tmp_path), "m")
+    got = sorted(((r["Id Tlf"], r.Canal, r.Adquiriente) for r in rows.collect()), key=repr)
+    seven, odd = (7, "a", "b"), [(7, "a,b", None), (7, None, None), (7, " a ", 'b"'), (None, None, None)]
+    assert [g for g in got if g == seven] == [seven] * 5 and len(got) == 9 and all(o in got for o in odd)
+    assert sorted(r.linea for r in rejected.collect()) == [9, 10]
+    target = work_dir(spark, "months")
+    mended = rejected.withColumn("texto", F.regexp_replace("texto", ',"?x"?$', ""))
+    one = mended.limit(1).select("mes_origen", F.lit("c.csv").alias("archivo_origen"), "linea", "motivo", F.lit("b,7").alias("texto"), F.lit('"Adquiriente",Id Tlf').alias("encabezado"))
+    without = one.withColumn("encabezado", F.lit(None).cast("string"))
+    assert monthly_extracts.replay_lines(spark, mended.union(one).union(without), target).count() == 0
+    got = [(r["Id Tlf"], r.Canal, r.Adquiriente) for r in monthly_extracts.read_consolidated(spark, target).collect()]
+    assert sorted(got, key=repr) == sorted([seven, seven, (7, None, "b"), (None, None, None)], key=repr)
+
+
+def test_no_line_is_parsed_again_for_every_field(spark, tmp_path):
+    write(tmp_path / "m" / "a.csv", ",Id Tlf,Canal\n0,1,x\n")
+    for rows in monthly_extracts.split_bad_lines(monthly_extracts.read_month(spark, str(tmp_path), "m")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") <= 4

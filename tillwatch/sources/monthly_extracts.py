@@ -28,14 +28,21 @@ FILE = "_ruta"
 #: Of a line: its block in the file and its number in the block, its text, and the heading line of its file.
 POSITION, TEXT, HEADING = "_posicion", "_texto", "_encabezado"
 LINE = [POSITION, TEXT, HEADING]
+#: Of a heading line: where in a line the fields of the known columns are.
+PLACES = "_lugares"
 QUARANTINE = ["mes_origen", "archivo_origen", "linea", "motivo", "texto", "encabezado"]
 
 
-def _with_fields(lines: DataFrame, line: Column, out: str, most: int) -> DataFrame:
-    """Add the fields of a CSV line as an array of ``most`` texts; missing and empty ones are null."""
+def _fields(line: Column, most: int) -> Column:
+    """The fields of a CSV line as an array of texts; of a line with quotes the first ``most``.
+
+    A line without quotes is cut at its commas. One with quotes is parsed, in an expression that holds the parser once:
+    a filter on a field is moved to where the field is made, and would parse the line again for every other field.
+    """
     schema = ", ".join(f"_{i} STRING" for i in range(most))
-    parsed = lines.withColumn("_csv", F.from_csv(line, schema, {"mode": "PERMISSIVE"}))
-    return parsed.withColumn(out, F.array(*[F.col(f"_csv._{i}") for i in range(most)])).drop("_csv")
+    parsed = F.array(F.from_csv(line, schema, {"mode": "PERMISSIVE"}))
+    texts = F.transform(parsed, lambda csv: F.array(*[csv[f"_{i}"] for i in range(most)]))
+    return F.when(F.contains(line, F.lit('"')), F.get(texts, F.lit(0))).otherwise(F.split(line, ",", -1))
 
 
 def _numbered_lines(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
@@ -64,16 +71,17 @@ def _headings(lines: DataFrame) -> DataFrame:
 END = "\u0001"
 
 
-def _by_heading(lines: DataFrame, headings: Sequence[str], most: int) -> DataFrame:
-    """Lines, each with its HEADING, with the text columns found by their heading, and SURPLUS."""
-    rows = _with_fields(lines, F.concat(HEADING, F.lit("," + END)), "_nombres", most)
-    rows = _with_fields(rows.withColumn("_nombres", F.transform("_nombres", F.trim)), F.col(TEXT), "_campos", most)
+def _with_places(firsts: DataFrame, headings: Sequence[str], most: int) -> DataFrame:
+    """Add to every HEADING, once for all its lines, the places of the named columns and of the end: -1 where there is none."""
+    names = firsts.withColumn("_nombres", F.transform(_fields(F.concat(HEADING, F.lit("," + END)), most), F.trim))
+    return names.withColumn(PLACES, F.array(*[F.array_position("_nombres", h).cast("int") - 1 for h in (*headings, END)])).drop("_nombres")
 
-    def place(name: str) -> Column:
-        return F.array_position("_nombres", name).cast("int") - 1
 
-    columns = [F.get("_campos", place(h)).alias(h) for h in headings]
-    return rows.select("*", *columns, F.get("_campos", place(END)).alias(SURPLUS)).drop("_nombres", "_campos")
+def _by_heading(lines: DataFrame, headings: Sequence[str], most: int) -> DataFrame:
+    """Lines, each with the PLACES of its heading, with the text columns found there, and SURPLUS. Empty fields are null."""
+    rows = lines.withColumn("_campos", _fields(F.col(TEXT), most))
+    columns = [F.nullif(F.get("_campos", F.get(PLACES, F.lit(i))), F.lit("")).alias(h) for i, h in enumerate((*headings, SURPLUS))]
+    return rows.select("*", *columns).drop("_campos", PLACES)
 
 
 def _widest(headings: DataFrame) -> int:
@@ -100,8 +108,9 @@ def read_month(
 
 def _parsed(lines: DataFrame, month: str, headings: Sequence[str] = tuple(TRANSACTION_HEADINGS)) -> DataFrame:
     firsts = materialise(_headings(lines), "headings")
-    detail = lookup_join(lines.filter(F.trim(TEXT) != ""), firsts, [FILE], "inner").filter(F.col(POSITION) != F.col("_primera"))
-    rows = _by_heading(detail.drop("_primera"), headings, _widest(firsts))
+    most = _widest(firsts)
+    found = lookup_join(lines.filter(F.trim(TEXT) != ""), _with_places(firsts, headings, most), [FILE], "inner")
+    rows = _by_heading(found.filter(F.col(POSITION) != F.col("_primera")).drop("_primera"), headings, most)
     return rows.withColumns({"mes_origen": F.lit(month), "fecha_procesamiento": F.current_timestamp()})
 
 
@@ -209,7 +218,9 @@ def replay_lines(spark: SparkSession, lines: DataFrame, target: str, required: S
     """
     lines = materialise(lines.select(*QUARANTINE), "replay")
     rows = lines.select("mes_origen", "archivo_origen", F.col("archivo_origen").alias(FILE), F.col("texto").alias(TEXT), F.col("encabezado").alias(HEADING), F.struct(F.lit(0).cast("long").alias("bloque"), F.col("linea").alias("numero")).alias(POSITION))
-    parsed = _by_heading(rows, tuple(TRANSACTION_HEADINGS), _widest(lines.withColumnRenamed("encabezado", HEADING)))
+    firsts = materialise(rows.select(HEADING).distinct(), "headings")
+    headings, most = tuple(TRANSACTION_HEADINGS), _widest(firsts)
+    parsed = _by_heading(lookup_join(rows, _with_places(firsts, headings, most), [HEADING]), headings, most)
     good, rejected = split_bad_lines(parsed.withColumn("fecha_procesamiento", F.current_timestamp()), required)
     write_month(materialise(good, "replayed"), target)
     return rejected.withColumn("linea", F.col(f"{POSITION}.numero")).select(*QUARANTINE)
