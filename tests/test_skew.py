@@ -73,6 +73,35 @@ def test_salting_spreads_the_hot_key(spark, hot):
     assert salts.distinct().count() == skew.SALTS
 
 
+@pytest.fixture
+def small_tasks(spark):
+    """Sizes at which adaptive execution acts, for tables of a test."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "64k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    settings = {f"spark.sql.{k}": v for k, v in settings.items()}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_anti"])
+def test_a_large_lookup_side_is_not_repeated(spark, small_tasks, how):
+    n = 2_100_000
+    dim = spark.range(n, numPartitions=4).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    key = F.when(F.col("id") % 3 > 0, 5).when(F.col("id") % 99 == 0, None).when(F.col("id") % 99 == 3, -1).otherwise(F.col("id"))
+    fact = spark.range(60_000, numPartitions=8).select("id", key.alias("k"))
+    joined = skew.lookup_join(fact, dim, ["k"], how)
+    plan = joined._jdf.queryExecution()
+    assert "Generate" not in plan.optimizedPlan().toString()
+    met = fact.filter("k >= 0").count()
+    assert joined.count() == {"left": 60_000, "inner": met, "left_anti": 60_000 - met}[how]
+    if how != "left_anti":
+        assert joined.agg(F.sum("v")).first()[0] == fact.agg(F.sum(F.when(F.col("k") >= 0, F.col("k") % 7))).first()[0]
+    assert plan.toRdd().count() == joined.count() and "skew=true" in plan.executedPlan().toString()
+
+
 def test_first_per_key_keeps_the_smallest(spark):
     df = spark.createDataFrame(
         [(1, "b", 5, None), (1, "a", 9, "x"), (2, "c", 1, "y"), (2, "c", 0, "z")], "k int, f string, v int, t string"

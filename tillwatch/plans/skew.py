@@ -13,6 +13,8 @@ from tillwatch.session import materialise
 #: Row bound under which a lookup side is broadcast (a few tens of MB for the dimensions used here).
 BROADCAST_ROWS = 200_000
 SALTS = 32
+#: Rows that a lookup side may be repeated to.
+SALTED_ROWS = 2_000_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -33,15 +35,21 @@ def lookup_join(
 
     A side proven small is broadcast, so the large table is not shuffled.
     Otherwise the large table is salted by a hash of its rows and the other
-    side repeated per salt, so a hot key is spread over ``salts`` tasks.
+    side repeated per salt, so a hot key is spread over ``salts`` tasks, fewer where the
+    copies would be more than ``SALTED_ROWS``. A larger side is not repeated: both are shuffled
+    as they are, and the adaptive skew join that ``prepare`` turns on deals out the rows of a hot key.
     ``derived`` says that the small side is computed from a large table; it is
     then written once instead of being computed for the check and the join.
     """
     on = list(on)
     if derived:
         dim = materialise(dim, "lookup")
-    if is_small(dim, max_rows):
+    n = dim.count()
+    if n <= max_rows:
         return fact.join(F.broadcast(dim), on, how)
+    salts = min(salts, SALTED_ROWS // n)
+    if salts <= 1:
+        return fact.join(dim, on, how)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
