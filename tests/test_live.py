@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tillwatch.operators import behaviour, rules
@@ -104,6 +105,49 @@ def test_late_repeated_and_forgotten_totals(spark):
     assert got == {("a", 10.0): None, ("b", 20.0): 10.0, ("", 7.0): None, ("c", 40.0): 10.0, ("b", 30.0): 25.0, ("d", 5.0): 80 / 3, ("z", 1.0): 7.0, ("e", 5.0): None}
 
 
+class Held:
+    """The state of one machine, and the calls made on it."""
+
+    def __init__(self):
+        self.rows, self.calls = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = rows
+
+    def registerTimer(self, at):
+        self.calls.append(("register", at))
+
+    def deleteTimer(self, at):
+        self.calls.append(("delete", at))
+
+
+def test_a_machine_is_plain_rows_and_few_calls():
+    held, mean = Held(), recent_mean.RecentMean(2, 100, 1)
+    mean.init(held)
+    total = Row("archivo_origen", "cod_cajero", "monto_dispensado", "fecha_hora", "instante")
+
+    def handle(*rows):
+        held.calls.clear()
+        return [tuple(r)[2:] for r in mean.handleInputRows(("1",), iter([total(f, "1", m, None, t) for f, m, t in rows]), None)]
+
+    nan = float("nan")
+    assert handle(("b", 4.0, 2000), ("a", 2.0, 1000), ("c", nan, 3000)) == [(2.0, 1000, None), (4.0, 2000, 2.0), (None, 3000, 3.0)]
+    assert held.calls == ["get", "put", ("register", 1003)]
+    assert handle(("d", 6.0, 1500), ("e", 8.0, 3000)) == [(6.0, 1500, 2.0), (8.0, 3000, 5.0)]
+    assert held.calls == ["get", "put"] and held.rows == [(1000, 2.0), (1500, 6.0), (2000, 4.0), (3000, 8.0)]
+    late = [(str(i), 1.0, 4000 + i) for i in range(7)]
+    assert handle(*late)[:2] == [(1.0, 4000, 6.0), (1.0, 4001, 4.5)]
+    assert held.calls == ["get", "put", ("delete", 1003), ("register", 1004)] and len(held.rows) == 8 and held.rows[0] == (3000, 8.0)
+
+
 def test_alerts_use_the_live_mean(spark):
     profile = spark.createDataFrame(
         [(m, 1000.0, 1e9, 0.0, 1.0, 0.0, -0.9) for m in ("1", "2")],

@@ -6,10 +6,10 @@ its machine gives the mean of the totals just before it.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -27,12 +27,19 @@ BUCKETS, MAX_AGE, FORGET = 4, 24 * 3600, 7 * 24 * 3600
 LATENESS = "1 day"
 #: Totals kept per machine, as a multiple of those that make a mean: how many files late a file may come.
 KEPT = 4
+MEAN = Row("archivo_origen", "cod_cajero", "monto_dispensado", "instante", "promedio_reciente")
+
+
+def _number(value: float | None) -> float | None:
+    """Null for what is not a number."""
+    return None if value is None or value != value else value
 
 
 class RecentMean(StatefulProcessor):
     """State: the newest totals of a machine by their time. A total of a time that is there already replaces it.
 
-    A timer stands at the time at which the machine will have been silent for too long; then its state goes.
+    A timer stands at the time at which the machine will have been silent for too long; then its state goes. Most
+    machines bring few totals a batch, so they are handled as plain rows: a table for each would cost far more than its rows.
     """
 
     def __init__(self, buckets: int, max_age: int, forget: int) -> None:
@@ -42,28 +49,32 @@ class RecentMean(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getListState("newest", "instante bigint, monto double")
 
-    def ends(self, held: dict[int, float]) -> int:
-        return max(held) // 1000 + self.forget
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["instante", "archivo_origen"], kind="stable")
-        held = dict(self.newest.get()) if self.newest.exists() else {}
-        if held:
-            self.handle.deleteTimer(self.ends(held))
-        means = []
-        for at, amount in zip(arrived["instante"].tolist(), arrived["monto_dispensado"].tolist()):
-            before = sorted(t for t in held if t < at)[-self.buckets :]
-            amounts = [held[t] for t in before if t >= at - self.max_age]
-            means.append(sum(amounts) / len(amounts) if amounts else None)
+    def ends(self, newest: int) -> int:
+        return newest // 1000 + self.forget
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = dict(self.newest.get())
+        times, found = sorted(held), []
+        before_ends = self.ends(times[-1]) if times else None
+        for row in sorted(rows, key=lambda row: (row.instante, row.archivo_origen)):
+            at, amount = row.instante, row.monto_dispensado
+            place = bisect_left(times, at)
+            amounts = [held[t] for t in times[max(0, place - self.buckets) : place] if t >= at - self.max_age]
+            mean = sum(amounts) / len(amounts) if amounts else None
+            if at not in held:
+                times.insert(place, at)
             held[at] = amount
-            if len(held) > KEPT * self.buckets:
-                del held[min(held)]
-        self.newest.put(sorted(held.items()))
-        self.handle.registerTimer(self.ends(held))
-        arrived["promedio_reciente"] = pd.Series(means, arrived.index, dtype="float64")
-        yield arrived[["archivo_origen", "cod_cajero", "monto_dispensado", "instante", "promedio_reciente"]]
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if len(times) > KEPT * self.buckets:
+                del held[times.pop(0)]
+            found.append(MEAN(row.archivo_origen, row.cod_cajero, _number(amount), at, _number(mean)))
+        self.newest.put([(t, held[t]) for t in times])
+        if before_ends != self.ends(times[-1]):
+            if before_ends is not None:
+                self.handle.deleteTimer(before_ends)
+            self.handle.registerTimer(self.ends(times[-1]))
+        return iter(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.newest.clear()
         return iter(())
 
@@ -79,7 +90,7 @@ def recent_means(totals: DataFrame, buckets: int = BUCKETS, max_age: int = MAX_A
     known = totals.dropna(subset=["cod_cajero", "fecha_hora", "monto_dispensado"])
     rows = known.withColumn("fecha_hora", F.col("fecha_hora").cast("timestamp")).withWatermark("fecha_hora", lateness)
     rows = rows.select(F.coalesce("archivo_origen", F.lit("")).alias("archivo_origen"), "cod_cajero", "monto_dispensado", "fecha_hora", micros("fecha_hora").alias("instante"))
-    found = rows.groupBy("cod_cajero").transformWithStateInPandas(
+    found = rows.groupBy("cod_cajero").transformWithState(
         RecentMean(buckets, max_age, forget),
         "archivo_origen string, cod_cajero string, monto_dispensado double, instante bigint, promedio_reciente double",
         "Update",
