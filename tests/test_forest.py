@@ -91,6 +91,15 @@ def test_tiny_and_constant_tables(spark):
     assert {r.es_anomalia for r in model.transform(df).collect()} == {False}
 
 
+def test_all_rows_are_fitted_on(spark):
+    rows = 2_050_000
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    df = spark.range(rows).select(F.col("id").alias("cod_terminal"), at.alias("bucket_15min"), (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    model = forest.fit_forest(df, ["a", "b"], KEYS, trees=2)
+    assert model.metadata["total_registros_entrenamiento"] == model.metadata["cajeros_unicos"] == rows
+    assert (model.medians["a"], model.scaler["a"][0]) == pytest.approx((499.5, 499.5), abs=1e-6)
+
+
 def test_sample_does_not_depend_on_partitioning(data):
     one = forest.sample_rows(data, 500, KEYS)
     two = forest.sample_rows(data.repartition(9), 500, KEYS)

@@ -25,6 +25,8 @@ from tillwatch.session import materialise
 
 MAX_SAMPLE = 256
 HASH_SPACE = 1 << 30
+#: Rows that one task scores in training.
+TASK_ROWS = 250_000
 NODE_SCHEMA = "arbol int, nodo int, variable int, corte double, izquierda int, derecha int, filas int, hondura int"
 
 
@@ -305,12 +307,12 @@ def fit_forest(
     share: float = 0.8,
     contamination: float = 0.01,
     seed: int = 42,
-    sample: int = 2_000_000,
+    sample: int = 0,
     time: str = "bucket_15min",
     machine: str = "cod_terminal",
     strata: Sequence[str] = (),
 ) -> Forest:
-    """Fit on about ``sample`` rows (0 = all). The threshold is the ``contamination`` quantile of their scores.
+    """Fit on all rows, or on about ``sample`` of them. The threshold is the ``contamination`` quantile of their scores.
 
     With ``strata``, such as month and machine, the sample has exactly ``sample`` rows, dealt over them in proportion.
     """
@@ -320,8 +322,9 @@ def fit_forest(
     else:
         chosen = sample_rows(df, sample, keys, seed) if sample else df
     extra = [c for c in (time, machine) if c not in keys and c not in features]
-    # Spread by key: the sample is small in bytes but costly to score.
-    spread = chosen.select(*keys, *extra, *features).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    # Spread by key: the rows are small in bytes but costly to score.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-chosen.count() // TASK_ROWS))
+    spread = chosen.select(*keys, *extra, *features).repartition(tasks, *keys)
     numbers = materialise(as_numbers(spread, features), "training")
     summary: dict = training_summary(numbers, time, machine).first().asDict()
     medians = fit_medians(numbers, features)

@@ -173,7 +173,7 @@ def build_transaction_features(spark: SparkSession, base: str) -> None:
     replace_table(features.hint("rebalance", "dia"), base, TRANSACTIONS, ["dia"])
 
 
-def score_transactions(spark: SparkSession, base: str, trees: int = 100, sample: int = 2_000_000, **limits: dict) -> Forest:
+def score_transactions(spark: SparkSession, base: str, trees: int = 100, sample: int = 0, **limits: dict) -> Forest:
     """Rule scores, model scores and their blend for all transactions of the fact: the table ``scores``.
 
     The model is a forest over the stored transaction features; its score is 0 to 1, 1 the most anomalous row of training.
