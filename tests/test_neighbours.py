@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from tillwatch.operators.neighbours import zone_features
+from tillwatch.operators.neighbours import CELLS_KM, _sums_within, zone_features
+from tillwatch.session import materialise
 
 
 def haversine(a, b):
@@ -123,3 +124,9 @@ def test_no_cartesian_product(spark):
     )
     plan = zone_features(profile, machines)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unfolded_circles_are_not_broadcast(spark):
+    sites = spark.createDataFrame([(4.0 + i * 0.001, -74.0, 1, 10.0) for i in range(50)], "lat double, lon double, n long, total double")
+    plan = _sums_within(materialise(sites, "sites"), 1.0, CELLS_KM)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

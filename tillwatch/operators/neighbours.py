@@ -121,8 +121,10 @@ def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -
             F.max("lon").alias("hi_lon"),
         )
         nearest, farthest = _box_distances()
+        # Merged by sorting: sizes are estimated before the circles are unfolded into cells, a hundred rows a site, so a
+        # side that looks small enough to be broadcast may not fit the driver.
         met = (
-            open_pairs.join(cells, parent or key)
+            open_pairs.hint("merge").join(cells, parent or key)
             .withColumn("near", nearest)
             .withColumn("far", farthest)
             .filter(F.col("near") <= radius + margin)
@@ -131,7 +133,7 @@ def _sums_within(sites: DataFrame, radius: float, cells_km: tuple[float, ...]) -
         open_pairs = met.filter(F.col("far") > radius - margin).select("lat", "lon", *key)
     others = gridded.select(*key, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "n", "total")
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    settled.append(open_pairs.join(others, key).filter(distance <= radius).select(*columns))
+    settled.append(open_pairs.hint("merge").join(others, key).filter(distance <= radius).select(*columns))
     together = settled[0]
     for part in settled[1:]:
         together = together.unionByName(part)
