@@ -86,3 +86,11 @@ def test_rows_that_no_threshold_can_reach_are_not_indexed():
     anchors = np.full((2, 8), 100)
     a, r, _ = negatives.threshold_join(rows, anchors, np.array([50_000, 90_000]))
     assert set(r.tolist()) == {5, 6, 7, 8, 9} and set(a.tolist()) == {0}
+
+
+def test_copies_of_anchors_are_not_broadcast(spark):
+    rows = negatives.quantised(spark.createDataFrame(drawn(40, 8, 3), VECTORS), "vec_id", F.col("label"), "embedding")
+    anchors = rows.withColumn("low", F.lit(0).cast("long")).withColumn("windows", F.array().cast(negatives.WINDOWS))
+    found = negatives.compare(negatives.blocks(rows, 8), anchors, list(range(8)), "vec_id long, positive_id long, positive_score long", negatives.pick_positives(5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

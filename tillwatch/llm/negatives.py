@@ -186,10 +186,12 @@ def compare(rows: DataFrame, anchors: DataFrame, order: list[int], schema: str,
     """What ``pick(rows, anchors, pairs, windows)`` gives for every block of rows and block of anchors.
 
     Each block of anchors is copied to as many shards as there are blocks of rows, which are dealt over the shards by hash.
+    The copies are never broadcast, whatever size Spark takes them for (it does not count them): they are merged by
+    shard, one after the other, with the few blocks of rows of the shard held.
     """
     shards = max(1, rows.count())
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
-    right = anchor_blocks(anchors).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
+    copies = anchor_blocks(anchors).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
     ordered = np.array(order, np.int64)
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -202,7 +204,7 @@ def compare(rows: DataFrame, anchors: DataFrame, order: list[int], schema: str,
                 found = pick(block, own, pairs, np.array(r["windows"], np.int64).reshape(-1, 5))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
 
-    return left.join(right, "shard").drop("shard", "block").mapInArrow(run, schema)
+    return copies.hint("merge").join(dealt, "shard").drop("shard", "block").mapInArrow(run, schema)
 
 
 def pick_positives(n: int) -> Callable:
@@ -260,7 +262,7 @@ def negatives(rows: DataFrame, windows: DataFrame, anchors: DataFrame, order: li
     for depth in DEPTHS:
         look = pending.withColumn("low", F.col("high") - F.floor((F.col("high") - F.col("low")) * F.lit(depth)).cast("long") if depth < 1 else F.col("low"))
         listed = look.groupBy("vec_id").agg(F.min("low").alias("low"), F.collect_list(F.struct("positive_id", "positive_score", "low", "high")).alias("windows"))
-        found = compare(rows, anchors.join(listed, "vec_id"), order, "vec_id long, positive_id long, positive_score long, negative_id long, negative_score long", pick_negatives(n))
+        found = compare(rows, anchors.hint("merge").join(listed, "vec_id"), order, "vec_id long, positive_id long, positive_score long, negative_id long, negative_score long", pick_negatives(n))
         found = materialise(_ranked(found, key, "negative_score", "negative_id", n), "negatives")
         full = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (n if depth < 1 else 0)).select(*key)
         found = found.join(full, key, "left_semi")
