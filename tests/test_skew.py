@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.plans import skew
 from tillwatch.plans.quantiles import exact_quantiles
+from tillwatch.session import materialise
 
 START = dt.datetime(2024, 1, 1)
 
@@ -102,6 +103,16 @@ def test_a_large_lookup_side_is_not_repeated(spark, small_tasks, how):
     assert plan.toRdd().count() == joined.count() and "skew=true" in plan.executedPlan().toString()
 
 
+@pytest.mark.parametrize("copies", [32, 1])
+def test_a_side_beyond_the_bound_is_not_broadcast(spark, monkeypatch, copies):
+    fact, dim = (materialise(spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias(v)), v) for n, v in ((100, "x"), (60, "y")))
+    monkeypatch.setattr(skew, "SALTED_ROWS", 60 * copies)
+    joined = skew.lookup_join(fact, dim, ["k"], "inner", max_rows=50)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows(joined, "k", "x", "y") == rows(fact.where("k < 60").withColumn("y", F.col("x")), "k", "x", "y")
+
+
 def test_first_per_key_keeps_the_smallest(spark):
     df = spark.createDataFrame(
         [(1, "b", 5, None), (1, "a", 9, "x"), (2, "c", 1, "y"), (2, "c", 0, "z")], "k int, f string, v int, t string"

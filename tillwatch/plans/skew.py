@@ -38,6 +38,7 @@ def lookup_join(
     side repeated per salt, so a hot key is spread over ``salts`` tasks, fewer where the
     copies would be more than ``SALTED_ROWS``. A larger side is not repeated: both are shuffled
     as they are, and the adaptive skew join that ``prepare`` turns on deals out the rows of a hot key.
+    Spark's own estimate, which counts neither copies nor what a file unfolds to, does not make a broadcast of either.
     ``derived`` says that the small side is computed from a large table; it is
     then written once instead of being computed for the check and the join.
     """
@@ -49,10 +50,10 @@ def lookup_join(
         return fact.join(F.broadcast(dim), on, how)
     salts = min(salts, SALTED_ROWS // n)
     if salts <= 1:
-        return fact.join(dim, on, how)
+        return fact.join(dim.hint("merge"), on, how)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return salted_fact.join(salted_dim.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def anti_join(
